@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family; importing registers them."""
 
-from inkwell.plans import q_engagement  # noqa: F401
+from inkwell.plans import q_engagement, q_registry  # noqa: F401
 from inkwell.plans.catalog import ORACLE, QUERIES  # noqa: F401
