@@ -34,7 +34,8 @@ CONFIG_SCHEMA = T.StructType(
        T.StructField("custom_headers", T.MapType(T.StringType(), T.StringType())),
        T.StructField("_corrupt_record", T.StringType())])
 
-_EMPTY_MAP = F.create_map().cast("map<string,string>")
+def _empty_map():
+    return F.create_map().cast("map<string,string>")
 
 
 def load_source_configs(spark: SparkSession, path: str) -> DataFrame:
@@ -46,8 +47,8 @@ def load_source_configs(spark: SparkSession, path: str) -> DataFrame:
         "name", "base_url", "scrape_type",
         *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in DEFAULTS.items()],
         "feed_url", *SELECTOR_FIELDS,
-        F.coalesce("category_mapping", _EMPTY_MAP).alias("category_mapping"),
-        F.coalesce("custom_headers", _EMPTY_MAP).alias("custom_headers"),
+        F.coalesce("category_mapping", _empty_map()).alias("category_mapping"),
+        F.coalesce("custom_headers", _empty_map()).alias("custom_headers"),
         "_corrupt_record", "file_name")
 
 
@@ -87,7 +88,7 @@ def merge_sources(json_df: DataFrame, db_df: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("priority"), F.lit(DEFAULTS["rate_limit_seconds"]).alias("rate_limit_seconds"),
         F.coalesce("is_active", F.lit(True)).alias("is_active"), "feed_url",
         *[F.lit(None).cast("string").alias(f) for f in SELECTOR_FIELDS],
-        _EMPTY_MAP.alias("category_mapping"), _EMPTY_MAP.alias("custom_headers"),
+        _empty_map().alias("category_mapping"), _empty_map().alias("custom_headers"),
         F.lit(1).alias("_origin"), F.lit(None).cast("string").alias("_order_s"), F.col("db_seq").alias("_order_n"))
     w = Window.partitionBy("source_key").orderBy(
         F.col("_origin"), F.col("_order_s").desc_nulls_last(), F.col("_order_n").asc_nulls_last())

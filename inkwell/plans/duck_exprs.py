@@ -41,3 +41,29 @@ def clean_text(x: str) -> str:
 
 def md5_bucket(x: str, mod: int) -> str:
     return f"(CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT) % {mod})"
+
+
+def tokens(x: str) -> str:
+    return (f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), "
+            f"lambda w: w <> '')")
+
+
+def html_to_text(x: str) -> str:
+    from inkwell.functions.html import ARTICLE_BLOCK, BODY_BLOCK, DROP_BLOCKS, ENTITIES, TAG
+    s = x
+    for p in DROP_BLOCKS:
+        s = f"regexp_replace({s}, '{_q(p)}', ' ', 'g')"
+    blk = (f"CASE WHEN regexp_matches({s}, '(?i)<article[\\s>]') THEN regexp_extract({s}, '{_q(ARTICLE_BLOCK)}', 1) "
+           f"WHEN regexp_matches({s}, '(?i)<body[\\s>]') THEN regexp_extract({s}, '{_q(BODY_BLOCK)}', 1) ELSE {s} END")
+    t = f"regexp_replace({blk}, '{_q(TAG)}', ' ', 'g')"
+    for ent, ch in ENTITIES:
+        t = f"replace({t}, '{_q(ent)}', '{_q(ch)}')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _q_lit(s: str) -> str:
+    return "'" + _q(s) + "'"
