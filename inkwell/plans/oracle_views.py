@@ -64,6 +64,8 @@ def with_views(body: str, *views: str) -> str:
         add(v)
     ctes = ",\n".join(f"{v} AS (\n{VIEWS[v]}\n)" for v in _ORDER if v in need)
     text = body.strip()
+    if text[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{text[15:]}"
     if text[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{text}"
