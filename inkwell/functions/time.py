@@ -45,3 +45,8 @@ def time_ago(ts: Column, as_of) -> Column:
             .when(s < 86400, F.concat((s / 3600).cast("bigint").cast("string"), F.lit("h ago")))
             .when(s < 7 * 86400, F.concat((s / 86400).cast("bigint").cast("string"), F.lit("d ago")))
             .otherwise(F.concat((s / (7 * 86400)).cast("bigint").cast("string"), F.lit("w ago"))))
+
+
+def age_seconds_exact(ts: Column, as_of) -> Column:
+    """Age in fractional seconds (microsecond precision) between ``ts`` and ``as_of``."""
+    return (F.unix_micros(ts_lit(as_of).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(1e6)

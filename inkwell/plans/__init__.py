@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family; importing registers them."""
 
-from inkwell.plans import q_content, q_engagement, q_registry, q_stories  # noqa: F401
+from inkwell.plans import q_content, q_engagement, q_recommend, q_registry, q_stories  # noqa: F401
 from inkwell.plans.catalog import ORACLE, QUERIES  # noqa: F401
