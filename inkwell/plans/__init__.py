@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family; importing registers them."""
 
-from inkwell.plans import q_content, q_engagement, q_ops, q_recommend, q_registry, q_search, q_stories, q_users  # noqa: F401
+from inkwell.plans import q_content, q_engagement, q_ops, q_recommend, q_registry, q_search, q_snaps, q_stories, q_users  # noqa: F401
 from inkwell.plans.catalog import ORACLE, QUERIES  # noqa: F401
