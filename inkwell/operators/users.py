@@ -131,7 +131,7 @@ def comment_threads(comments: DataFrame, deleted: DataFrame | None = None, max_d
     if deleted is not None:
         gone = deleted.select(F.col(deleted.columns[0]).alias("_del"))
         # A comment is gone when any id on its path (itself or an ancestor) is deleted.
-        anc = out.select("comment_id", F.explode(F.split("path", "/")).cast("bigint").alias("_anc"))
+        anc = out.select("comment_id", F.explode(F.transform(F.split("path", "/"), lambda x: x.cast("bigint"))).alias("_anc"))
         hit = anc.join(gone, anc._anc == gone._del, "left_semi").select("comment_id").distinct()
         out = out.join(hit, "comment_id", "left_anti")
     replies = out.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("comment_id")).agg(
