@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from inkwell.llm import url_filter  # noqa: F401
+from inkwell.llm import bpe, exact_dedup, langid, packing, toxicity, url_filter  # noqa: F401
 from inkwell.llm.registry import ORACLE, QUERIES  # noqa: F401
