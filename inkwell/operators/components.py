@@ -21,7 +21,7 @@ from inkwell.session import cut_lineage
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "src",
-                         dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+                         dst: str = "dst") -> DataFrame:
     """Return (vertex, component) for every vertex in ``vertices`` (or in the edges).
 
     Isolated vertices form their own component.
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
         vertices = sym.select(F.col("a").alias("vertex"))
     labels = cut_lineage(vertices.select(F.col(vertices.columns[0]).alias("vertex")).distinct()
                          .withColumn("label", F.col("vertex")))
-    for _ in range(max_rounds):
+    while True:
         cand = sym.join(labels, sym.a == labels.vertex).select(F.col("b").alias("vertex"), "label")
         step = labels.unionByName(cand).groupBy("vertex").agg(F.min("label").alias("label"))
         parent = step.select(F.col("vertex").alias("p_vertex"), F.col("label").alias("p_label"))
@@ -44,5 +44,4 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
                    .where(F.col("n.label") != F.col("o.label")).limit(1).count())
         labels = jumped
         if changed == 0:
-            break
-    return labels.select("vertex", F.col("label").alias("component"))
+            return labels.select("vertex", F.col("label").alias("component"))
