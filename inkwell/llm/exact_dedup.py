@@ -62,8 +62,11 @@ def stream_groups(spark: SparkSession, digests: str, files_per_batch: int | None
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
     settings = {"spark.sql.streaming.stateStore.providerClass": STATE,
-                "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+                f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.changelogCheckpointing.enabled": "true",
+                # Else each of the many stores reserves disk for its logs, however small it is.
+                f"{rocks}.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
