@@ -1,4 +1,5 @@
 """Importing this module registers every query of the package."""
 
-from inkwell.llm import bpe, exact_dedup, langid, packing, toxicity, url_filter  # noqa: F401
+from inkwell.llm import (  # noqa: F401
+    bpe, embedding_dedup, exact_dedup, langid, minhash, packing, substring_dedup, toxicity, url_filter)
 from inkwell.llm.registry import ORACLE, QUERIES  # noqa: F401
