@@ -1,9 +1,10 @@
 """Operator 5: language identification by compression.
 
 For each language of the labelled rows a raw-content zstandard dictionary is put together from slices of
-its documents. A text is cut into blocks of ``BLOCK`` bytes, every block is compressed with every
-language's dictionary, and the language with the smallest sum of sizes is chosen; on a tie the first in
-text order. The margin to the second language, as a share of the second's size, is the score; below
+its documents. Of dictionaries and texts only the lower-case words count: ASCII digits and marks are
+blanks. A text is cut into blocks of ``BLOCK`` bytes, every block is compressed with every language's
+dictionary, and the language with the smallest sum of sizes is chosen. Where a text of a single block has
+a narrow margin, it is compressed again at a higher level; on a tie the first in text order is taken. The margin to the second language, as a share of the second's size, is the score; below
 ``MIN_MARGIN`` the choice is marked as rejected.
 
 A dictionary holds slices of at most ``SLICE`` characters of ``PER_LANG`` documents, those with the
@@ -30,14 +31,19 @@ from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
 #: The bounds of the fit: documents of a language, and characters of each.
-PER_LANG, SLICE = 160, 600
-#: Bytes that are compressed at a time, and the compression level.
-BLOCK, LEVEL = 1 << 14, 3
-MIN_MARGIN = 0.02
+PER_LANG, SLICE = 500, 600
+#: Bytes that are compressed at a time, and the levels of the first and the second look.
+BLOCK, LEVEL, SECOND = 1 << 14, 3, 12
+MIN_MARGIN, NARROW = 0.02, 0.08
 #: Languages beyond these, by number of learned documents, are refused: the dictionaries go to every worker.
 MAX_LANGS = 256
 
 _LETTER = regex.compile(r"\p{L}")
+_MARKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def words(text: str) -> bytes:
+    return b" ".join(text.lower().encode().translate(_MARKS).split())
 
 
 def fit(docs: DataFrame, held_out: Column | None = None, per_lang: int = PER_LANG) -> dict[str, bytes]:
@@ -56,15 +62,15 @@ def fit(docs: DataFrame, held_out: Column | None = None, per_lang: int = PER_LAN
         parts[r.lang] = [p.part for p in r.parts]
     if len(parts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    return {lang: "\n".join(p).encode() for lang, p in parts.items()}
+    return {lang: words("\n".join(p)) for lang, p in parts.items()}
 
 
 @cache
-def _compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstd.ZstdCompressor]]:
+def _compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list[tuple[str, zstd.ZstdCompressor]]:
     out = []
     for lang, raw in model:
         d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
+        d.precompute_compress(level=level)
         out.append((lang, zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
     return out
 
@@ -73,12 +79,16 @@ def classify(text: str, model: tuple[tuple[str, bytes], ...]) -> tuple[str, floa
     """(language, margin) of a whole text."""
     if not model or not text or not _LETTER.search(text):
         return "und", 0.0
-    raw = text.encode()
+    raw = words(text)
     blocks = [raw[i:i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(model))
-    if len(sizes) == 1:
-        return sizes[0][1], 1.0
-    return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+    for level in (LEVEL, SECOND):
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(model, level))
+        if len(sizes) == 1:
+            return sizes[0][1], 1.0
+        margin = 1 - sizes[0][0] / max(1, sizes[1][0])
+        if len(blocks) > 1 or margin >= NARROW:
+            break
+    return sizes[0][1], margin
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:

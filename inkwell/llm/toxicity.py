@@ -1,11 +1,11 @@
 """Operator 10: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are its distinct words, word pairs, and pairs with one or two words between, hashed
-to ``2 ** bits`` places. Training takes labelled rows up to about ``sample`` of them, chosen by a hash of
-doc_id, dealt to ``SHARDS`` shards; each shard runs FTRL-proximal (per-coordinate rates, L1 and L2) over
-its rows, and the shards' weights are averaged. L1 leaves most weights at zero, so the model is a list
-of (place, weight) of at most ``2 ** bits`` rows, small enough to send to every worker. Scoring reads
-whole texts once, without a shuffle.
+A text's features are its distinct words, the words' first ``STEM`` letters, word pairs, and pairs with
+one or two words between, hashed to ``2 ** bits`` places. Training takes labelled rows up to about
+``sample`` of them, chosen by a hash of doc_id, dealt to shards of about ``PER_SHARD``; each shard runs
+FTRL-proximal (per-coordinate rates, L1 and L2) over its rows, and the shards' weights are averaged. L1
+leaves most weights at zero, so the model is a list of (place, weight) of at most ``2 ** bits`` rows, small
+enough to send to every worker. Scoring reads whole texts once, without a shuffle.
 
 Null or empty text, or text without words, has no features and scores the bias. Labels other than 0 and
 1, null labels and null doc_ids are not learned from; a doc_id labelled both ways counts as toxic.
@@ -28,8 +28,8 @@ from inkwell.llm.common import in_key, map_batches, map_groups, text_rows
 from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
-#: Shards that learn side by side, passes of each over its rows, and labelled rows to learn from.
-SHARDS, EPOCHS, SAMPLE = 4, 4, 24_000
+#: Labelled rows to learn from, rows of a shard, passes of a shard over its rows, and a stem's letters.
+SAMPLE, PER_SHARD, EPOCHS, STEM = 24_000, 8_000, 4, 5
 #: Score from which a document counts as toxic.
 CUT = 0.7
 #: Words that a worker keeps the hash of.
@@ -41,10 +41,13 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Two hashes of a word: its own and its stem's."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > MEMO:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        stem = word.decode()[:STEM].encode()
+        self[word] = h = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(stem, seed=STEM))
         return h
 
 
@@ -52,34 +55,45 @@ _hashes = _Hashes()
 
 
 def features(text: str, bits: int) -> np.ndarray:
-    """Places of all words and (skip) pairs of ``text``, with repeats. ASCII marks split words."""
+    """Places of all words, stems and (skip) pairs of ``text``, with repeats. ASCII marks split words."""
     words = text.lower().encode().translate(_MARKS).split()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    pairs = [(h[:-gap] * _STEPS[gap - 1] + h[gap:]) * _MIX for gap in (1, 2, 3) if len(h) > gap]
-    return (np.concatenate([h * _MIX, *pairs]) >> np.uint64(64 - bits)).astype(np.int64)
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    h, stems = np.array([_hashes[w] for w in words], dtype=np.uint64).T
+    pairs = [h[:-gap] * _STEPS[gap - 1] + h[gap:] for gap in (1, 2, 3) if len(h) > gap]
+    return (np.concatenate([h, stems, *pairs]) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha, beta: the per-coordinate rate; l1, l2: the penalties; place ``2 ** bits`` is the bias."""
+    """alpha, beta: the per-coordinate rate; l1, l2: the penalties; toxic: weight of a toxic row.
+
+    l1 is that of a shard of ``full`` rows and more; with fewer rows it is less in proportion, 1 at least.
+    Place ``2 ** bits`` is the bias.
+    """
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.5
-    l2: float = 0.1
+    l1: float = 8.0
+    l2: float = 1.0
+    toxic: float = 2.0
+    full: int = 6_000
 
     def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int) -> np.ndarray:
-        z, n = np.zeros((1 << self.bits) + 1), np.zeros((1 << self.bits) + 1)
-        rows = [(np.append(np.unique(x), 1 << self.bits), y) for x, y in rows]
+        l1 = max(1.0, self.l1 * min(1.0, len(rows) / self.full))
+        bias = 1 << self.bits
+        z, n, penalty = np.zeros(bias + 1), np.zeros(bias + 1), np.full(bias + 1, l1)
+        penalty[bias] = 0
+        rows = [(np.append(np.unique(x), bias), y) for x, y in rows]
         for _ in range(epochs):
             for x, y in rows:
-                w = self.weights(z[x], n[x], np.append(np.full(len(x) - 1, self.l1), 0.0))
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                w = self.weights(z[x], n[x], penalty[x])
+                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (self.toxic if y else 1.0)
                 root = np.sqrt(n[x])
                 n[x] += g * g
                 z[x] += g - (np.sqrt(n[x]) - root) / self.alpha * w
-        return self.weights(z, n, np.append(np.full(1 << self.bits, self.l1), 0.0))
+        return self.weights(z, n, penalty)
 
     def weights(self, z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
@@ -93,12 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mo
     if held_out is not None:
         known = known.where(~held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chance = min(1.0, sample / max(1, known.count()))
+    labelled = known.count()
+    chance = min(1.0, sample / max(1, labelled))
+    shards = max(1, round(min(sample, labelled) / PER_SHARD))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # The same hash on both sides: a document outside the sample is never shuffled.
     some = known.where(place < int(chance * (1 << 30)))
     texts = text_rows(docs).where(F.col("doc_id").isNotNull() & (place < int(chance * (1 << 30))))
-    rows = texts.join(some, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS)).cast("int"))
+    rows = texts.join(some, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
     def fit(d: dict) -> dict:
         order = sorted(range(len(d["text"])), key=lambda i: xxhash.xxh64_intdigest(f"{d['doc_id'][i]} {d['text'][i]}"))
@@ -107,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mo
         return {"place": at.tolist(), "weight": (w[at]).tolist(), "shard": [d["shard"][0]] * len(at)}
 
     learned = map_groups(rows, ["shard"], fit, "place int, weight double, shard int")
-    return learned.groupBy("place").agg((F.sum("weight") / SHARDS).alias("weight"))
+    return learned.groupBy("place").agg((F.sum("weight") / shards).alias("weight"))
 
 
 def scorer(spark, weights: DataFrame, model: Ftrl = Ftrl()) -> Callable[[list[str]], list[float]]:
