@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import map_batches, text_rows
 from inkwell.llm.registry import query
-from inkwell.llm.tokens import MEMO, Chunked, vocabulary
+from inkwell.llm.tokens import Chunked, vocabulary
 from inkwell.sources.tables import read_table
 
 
+#: Pre-tokens whose ids a worker keeps.
+MEMO = 400_000
+
+
 class PerfectHash:
     """Minimal perfect hash by hash and displace: n keys take the slots 0 to n - 1.
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from functools import cache
 
 #: Chunks whose ids a worker keeps, and characters that are split at a time.
-MEMO, AT_A_TIME = 400_000, 1 << 21
+MEMO, AT_A_TIME = 1_000_000, 1 << 21
 
 
 def vocabulary(name: str) -> str:
