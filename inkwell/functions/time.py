@@ -49,4 +49,9 @@ def time_ago(ts: Column, as_of) -> Column:
 
 def age_seconds_exact(ts: Column, as_of) -> Column:
     """Age in fractional seconds (microsecond precision) between ``ts`` and ``as_of``."""
-    return (F.unix_micros(ts_lit(as_of).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(1e6)
+    return F.timestamp_diff("MICROSECOND", ts, ts_lit(as_of)) / F.lit(1e6)
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds from 1970-01-01 to a time without zone; no session time zone has a part in it."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

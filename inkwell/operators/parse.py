@@ -77,15 +77,21 @@ def with_time_ago(df: DataFrame, as_of, ts: str = "publish_time") -> DataFrame:
     return df.withColumn("time_ago", time_ago(F.col(ts), as_of))
 
 
+# The zone names of RFC 822 and their offsets.
+RFC822_ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
+                "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def parse_time(c, formats=None):
     """First format that parses wins (ISO 8601, RFC 822 and custom patterns).
 
     The weekday prefix ('Tue, ') is stripped first: ``EEE`` is not accepted by
-    the Spark 4 datetime parser. Zone names like GMT/UTC/Z become +0000.
+    the Spark 4 datetime parser. The zone names of RFC 822 become offsets.
     """
     s = F.trim(col_of(c))
     s = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
-    s = F.regexp_replace(s, r"\s+(GMT|UTC|UT|Z)$", " +0000")
+    for zone, offset in RFC822_ZONES.items():
+        s = F.regexp_replace(s, rf"(:\d{{2}})\s+{zone}$", f"$1 {offset}")
     fmts = formats or ["yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss",
                        "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd"]
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts]).cast("timestamp_ntz")
@@ -95,9 +101,8 @@ def repair_encoding(b, charset: str | None = None):
     """Bytes to text: valid UTF-8 decodes as UTF-8, otherwise as ``charset``
     (ISO-8859-1 by default, which maps every byte)."""
     raw = col_of(b)
-    as_utf8 = F.decode(raw, "UTF-8")
-    fallback = F.decode(raw, charset or "ISO-8859-1")
-    return F.when(F.try_validate_utf8(as_utf8).isNotNull(), as_utf8).otherwise(fallback)
+    # A cast takes the bytes as they are; decode() would fail the job on the first invalid one.
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, charset or "ISO-8859-1"))
 
 
 def detect_language(df: DataFrame, text: str = "content", out: str = "detected_language") -> DataFrame:

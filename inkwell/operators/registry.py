@@ -197,8 +197,9 @@ def seed_dim(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A10: raw pages as (url, html, fetched_at) from parquet, JSON or binary files."""
     if fmt == "binaryFile":
+        from inkwell.operators.parse import repair_encoding
         df = spark.read.format("binaryFile").load(path)
-        return df.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"),
+        return df.select(F.col("path").alias("url"), repair_encoding("content").alias("html"),
                          F.col("modificationTime").cast("timestamp_ntz").alias("fetched_at"))
     df = spark.read.format(fmt).load(path)
     fetched = F.col("fetched_at") if "fetched_at" in df.columns else F.lit(None).cast("timestamp_ntz")

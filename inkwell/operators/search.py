@@ -129,7 +129,7 @@ def search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 1
 def _deletions(col, d: int):
     """All strings obtained by deleting up to ``d`` characters (d in 0..2)."""
     one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)),
-                                lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(1 << 20))))
+                                lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
     first = F.array_union(F.array(col), one(col))
     if d == 1:
         return first

@@ -101,13 +101,19 @@ def explode_prefs(prefs: DataFrame) -> DataFrame:
     return cats.unionByName(langs).distinct()
 
 
-def comment_threads(comments: DataFrame, deleted: DataFrame | None = None, max_depth: int = 100_000) -> DataFrame:
+def comment_rejects(comments: DataFrame) -> DataFrame:
+    """F8: comments that no root leads to, because a parent is missing or parent links form a cycle."""
+    return comments.join(comment_threads(comments).select("comment_id"), "comment_id", "left_anti")
+
+
+def comment_threads(comments: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """F8: comment forest: root, depth, path and direct reply count per comment;
     deleting a comment drops its whole subtree.
 
     Resolved level by level (a join per level of depth, bounded by the thread
     depth), each level checkpointed; replies are counted with one aggregate.
     comments: comment_id, item_id, parent_id.
+    Comments that hang from a missing parent or a cycle are in no thread: see comment_rejects.
     """
     from inkwell.session import cut_lineage
     c = comments.select("comment_id", "item_id", "parent_id")
@@ -116,7 +122,9 @@ def comment_threads(comments: DataFrame, deleted: DataFrame | None = None, max_d
         F.col("comment_id").cast("string").alias("path"))
     out = level
     kids = c.where(F.col("parent_id").isNotNull())
-    for d in range(1, max_depth + 1):
+    d = 0
+    while True:  # a cycle hangs from no root, so levels end
+        d += 1
         nxt = (kids.join(level.select(F.col("comment_id").alias("parent_id"), "root_id", F.col("path").alias("_pp")),
                          "parent_id")
                .select("comment_id", "item_id", "parent_id", "root_id", F.lit(d).alias("depth"),
@@ -124,8 +132,6 @@ def comment_threads(comments: DataFrame, deleted: DataFrame | None = None, max_d
         nxt = cut_lineage(nxt)
         if nxt.limit(1).count() == 0:
             break
-        if d == max_depth:
-            raise ValueError("comment parent links form a cycle or exceed max_depth")
         out = out.unionByName(nxt)
         level = nxt
     if deleted is not None:

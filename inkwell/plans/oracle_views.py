@@ -11,7 +11,7 @@ _CATS = ("['national','international','politics','business','finance','sports','
          "'defence','real_estate','opinion']")
 
 VIEWS = {
-    "articles": f"""SELECT doc_id AS article_id, substring(split_part(text, chr(10), 1), 1, 500) AS title,
+    "articles": f"""SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title,
   text AS content, lang AS language, source AS source_name,
   ({_CATS})[CAST(doc_id % 19 + 1 AS INT)] AS category_slug,
   TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST((doc_id * 7919) % 43200 AS INT)) AS publish_time

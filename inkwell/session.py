@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -31,14 +32,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("INKWELL_MASTER", "local[8]"))
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    parts = shuffle_partitions or int(os.environ.get("INKWELL_SHUFFLE_PARTITIONS", "8"))
-    builder = builder.config("spark.sql.shuffle.partitions", str(parts))
-    builder = builder.config("spark.driver.memory", os.environ.get("INKWELL_DRIVER_MEMORY", "16g"))
-    spark = builder.getOrCreate()
+    # What the launcher has set (spark-submit passes it on as system properties) stays.
+    given = SparkConf()
+    wanted = {**_DEFAULTS, "spark.app.name": app_name,
+              "spark.master": master or os.environ.get("INKWELL_MASTER", "local[8]"),
+              "spark.driver.memory": os.environ.get("INKWELL_DRIVER_MEMORY", "16g"),
+              "spark.sql.shuffle.partitions": str(shuffle_partitions or os.environ.get("INKWELL_SHUFFLE_PARTITIONS", "8"))}
+    spark = SparkSession.builder.config(map={k: v for k, v in wanted.items() if not given.contains(k)}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to a shared (HDFS/S3/ABFS) folder and we use it
-    as is. Only when it is unset (local tests) do we create a scratch folder.
+    as is; without one a cluster run fails. Only a local master gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset only in local tests; a cluster names a shared folder here.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        # Unset only in local tests, where one machine holds everything.
         configured = tempfile.mkdtemp(prefix="inkwell-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

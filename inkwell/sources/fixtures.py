@@ -24,7 +24,7 @@ CATEGORY_SLUGS = (
 _CATS = "array(" + ",".join(f"'{c}'" for c in CATEGORY_SLUGS) + ")"
 
 _ARTICLES = f"""
-SELECT doc_id AS article_id, substring(split_part(text, '\\n', 1), 1, 500) AS title, text AS content,
+SELECT doc_id AS article_id, split_part(text, '\\n', 1) AS title, text AS content,
   lang AS language, source AS source_name,
   element_at({_CATS}, CAST(doc_id % 19 + 1 AS INT)) AS category_slug,
   timestampadd(MINUTE, CAST(-((doc_id * 7919) % 43200) AS INT), TIMESTAMP_NTZ'{AS_OF}') AS publish_time

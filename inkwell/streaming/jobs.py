@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the periodic jobs.
+"""Structured Streaming versions of the periodic jobs.
 
 Inputs are file streams (new parquet files in a folder). Windowed aggregates use
 event-time watermarks and append mode, so state for closed windows is dropped
@@ -40,6 +40,8 @@ def stage_files(df: DataFrame, path: str, order_col: str, files: int = 10) -> No
             cond = cond & (num > F.lit(lo))
         if hi is not None:
             cond = cond & (num <= F.lit(hi))
+        if i == 0:  # rows without a value for the order come first
+            cond = cond | num.isNull()
         df.where(cond).coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
 
 
