@@ -83,14 +83,14 @@ class Grammar:
 
 
 def frequent_pairs(key: np.ndarray, place: np.ndarray) -> list[int]:
-    """Up to PAIRS of the most frequent keys, the most frequent first. Keys are counted by hash place, and
-    only the keys of the fullest places are counted exactly."""
-    count = np.bincount(place, minlength=1 << _BITS)
-    floor = max(LEAST, int(np.partition(count, -PAIRS)[-PAIRS]))
-    keys, times = np.unique(key[count[place] >= floor], return_counts=True)
-    good = times >= LEAST
-    keys, times = keys[good], times[good]
-    return keys[np.lexsort((keys, -times))[:PAIRS]].tolist()
+    """Up to PAIRS of the most frequent keys, the most frequent first. Each hash place counts one of the
+    keys that fall into it, the last to occur; another one has its chance in a later round."""
+    kept = np.zeros(1 << _BITS, dtype=np.uint64)
+    kept[place] = key
+    times = np.bincount(place[kept[place] == key], minlength=1 << _BITS)
+    best = np.argpartition(times, -PAIRS)[-PAIRS:]
+    best = best[times[best] >= LEAST]
+    return kept[best][np.lexsort((kept[best], -times[best]))].tolist()
 
 
 def re_pair(ids: np.ndarray, rounds: int = ROUNDS) -> Grammar:
