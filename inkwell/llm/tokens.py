@@ -13,6 +13,7 @@ import os
 import struct
 from collections.abc import Callable
 from functools import cache
+from itertools import islice
 
 #: Chunks whose ids a worker keeps, and characters that are split at a time.
 MEMO, AT_A_TIME = 1_000_000, 1 << 21
@@ -51,15 +52,27 @@ class Chunked:
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.later) + len(self.first) > MEMO:
             self.first, self.later = {}, {}
-        parts = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parts} - self.first.keys(), "")
-        self._learn(self.later, set().union(*(p[1:] for p in parts)) - self.later.keys(), self.space)
-        out = []
-        for t, p in zip(texts, parts):
-            ids = [self.first[p[0]], *map(self.later.__getitem__, p[1:])]
-            out.append(self.encode([t])[0] if None in ids else b"".join(ids))
+        out, missing = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            parts = t.split(" ")
+            try:
+                out[i] = self._joined(t, parts)
+            except KeyError:
+                missing.append((i, parts))
+        if missing:
+            self._learn(self.first, {p[0] for _, p in missing} - self.first.keys(), "")
+            self._learn(self.later, set().union(*(p[1:] for _, p in missing)) - self.later.keys(), self.space)
+            for i, parts in missing:
+                out[i] = self._joined(texts[i], parts)
         return out
 
+    def _joined(self, text: str, parts: list[str]) -> bytes:
+        """The ids of a text's chunks in a row; KeyError if one isn't known yet."""
+        try:
+            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, islice(parts, 1, None)))
+        except TypeError:  # a chunk that isn't safe to take alone
+            return self.encode([text])[0]
+
     def _learn(self, memo: dict, new: set[str], space: str) -> None:
         if space:
             unsafe = {c for c in new if not c or c[0].isspace()}
