@@ -119,28 +119,26 @@ def boilerplate_overlap(docs: DataFrame, corpus: DataFrame | None, n: int = 8, m
     """Per document, the share of its distinct word n-grams found in the
     boilerplate corpus, and the share repeated in at least ``min_docs`` documents.
 
-    Shingles are exploded per document and hashed to 64 bits; the corpus set and
-    the per-shingle document counts are joined back on the hash. Counting documents
-    per shingle is a two-level aggregate ((shingle, doc) then shingle), so a
-    boilerplate line present in a third of all documents is pre-aggregated per map
-    task instead of landing raw in one reducer.
+    Shingles are distinct per document and hashed to 64 bits, so counting a
+    shingle's documents pre-aggregates in the map task. Only shingles that repeat
+    or lie in the corpus are joined back on the hash.
     """
     base = _doc_shingles(docs, id_col, text, n)
     # explode_outer + null filter: a plain explode makes Catalyst infer a
     # ``size(...) > 0`` filter that re-inlines the tokeniser into the lambda.
     ds = base.select("_id", F.explode_outer("_sh").alias("sh")).where(F.col("sh").isNotNull())
     totals = base.select("_id", F.size("_sh").alias("n_shingles"))
-    per_sh = ds.groupBy("sh").agg(F.count("*").alias("n_docs"))
-    j = ds.join(per_sh, "sh")
+    marks = (ds.groupBy("sh").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+             .select("sh", F.lit(True).alias("_repeated")))
     if corpus is not None:
         cs = (_doc_shingles(corpus.withColumn("_cid", F.lit(0)), "_cid", corpus_text, n)
               .select(F.explode_outer("_sh").alias("sh")).where(F.col("sh").isNotNull()).distinct().withColumn("_in_corpus", F.lit(True)))
-        j = j.join(cs, "sh", "left")
+        marks = marks.join(cs, "sh", "full_outer")
     else:
-        j = j.withColumn("_in_corpus", F.lit(None).cast("boolean"))
-    agg = j.groupBy("_id").agg(
+        marks = marks.withColumn("_in_corpus", F.lit(None).cast("boolean"))
+    agg = ds.join(marks, "sh").groupBy("_id").agg(
         F.count_if(F.col("_in_corpus").isNotNull()).alias("corpus_hits"),
-        F.count_if(F.col("n_docs") >= min_docs).alias("repeated_hits"))
+        F.count_if(F.col("_repeated").isNotNull()).alias("repeated_hits"))
     out = totals.join(agg, "_id", "left").select(
         F.col("_id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.lit(0.0))
@@ -150,10 +148,11 @@ def boilerplate_overlap(docs: DataFrame, corpus: DataFrame | None, n: int = 8, m
     return out
 
 
-def quality_gate(scored: DataFrame, threshold: float = QUALITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Accept at score >= threshold and no hard flag. Expects the columns of
-    C1-C5 (quality_score, clickbait, body_words, sponsored, meaningful,
-    corpus_share, repeated_share). Returns (accepted, rejected) with reasons."""
+def tag_quality(scored: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:
+    """The reasons against each article in one array; an empty one accepts it
+    (score >= threshold and no hard flag). Expects the columns of C1-C5
+    (quality_score, clickbait, body_words, sponsored, meaningful, corpus_share,
+    repeated_share)."""
     reasons = F.filter(F.array(
         F.when(F.col("quality_score") < threshold, F.lit("low_score")),
         F.when(F.col("body_words") < MIN_WORDS, F.lit("incomplete")),
@@ -162,7 +161,13 @@ def quality_gate(scored: DataFrame, threshold: float = QUALITY_THRESHOLD) -> tup
         F.when(~F.col("meaningful"), F.lit("not_meaningful")),
         F.when(F.greatest(F.col("corpus_share"), F.col("repeated_share")) >= BOILERPLATE_SHARE,
                F.lit("boilerplate"))), lambda r: r.isNotNull())
-    tagged = scored.withColumn("reasons", reasons)
+    return scored.withColumn("reasons", reasons)
+
+
+def quality_gate(scored: DataFrame, threshold: float = QUALITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """C6 split for two sinks: (accepted, rejected) with reasons. Reading both plans
+    C1-C5 twice; where one frame will do, use tag_quality."""
+    tagged = tag_quality(scored, threshold)
     accepted = tagged.where(F.size("reasons") == 0).drop("reasons")
     rejected = tagged.where(F.size("reasons") > 0).withColumn("rejection_reason", F.array_join("reasons", ";"))
     return accepted, rejected

@@ -12,29 +12,33 @@ MIN_LANGUAGES = 1
 
 def resolve_users(logins: DataFrame, users: DataFrame) -> DataFrame:
     """match each login by google_id, else link an existing user by email
-    (setting its google_id), else create a 'reader'. last_login_at = latest login.
+    (its google_id becomes the latest login's), else create a 'reader'.
+    last_login_at = latest login.
 
     logins: login_ts, google_id, email, display_name; users: user_id, email,
     google_id, role, last_login_at. Within a batch the latest login per google_id
-    wins (arrival order). New users get id = max(user_id) + rank.
+    wins (arrival order). New logins that share an email create one user, with the
+    latest one's google_id. New users get id = max(user_id) + rank.
     Returns the full users table after the batch.
     """
     w = Window.partitionBy("google_id").orderBy(F.col("login_ts").desc(), F.col("email"))
     lg = logins.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     by_gid = lg.join(users.select("user_id", F.col("google_id").alias("_ug")), lg.google_id == F.col("_ug"), "left")
-    matched = by_gid.where(F.col("user_id").isNotNull()).select("user_id", "login_ts", F.lit(None).cast("string").alias("_link"))
+    matched = by_gid.where(F.col("user_id").isNotNull()).select("user_id", "login_ts", F.col("google_id").alias("_link"))
     rest = by_gid.where(F.col("user_id").isNull()).drop("user_id", "_ug")
     by_mail = rest.join(users.select("user_id", F.col("email").alias("_ue")), rest.email == F.col("_ue"), "left")
     linked = by_mail.where(F.col("user_id").isNotNull()).select("user_id", "login_ts", F.col("google_id").alias("_link"))
     fresh = by_mail.where(F.col("user_id").isNull()).drop("user_id", "_ue")
+    wm = Window.partitionBy(F.coalesce("email", "google_id")).orderBy(F.col("login_ts").desc(), F.col("google_id").desc())
+    fresh = fresh.withColumn("_r", F.row_number().over(wm)).where("_r = 1")
     max_id = users.agg(F.max("user_id")).scalar()
     wn = Window.orderBy("login_ts", "google_id")  # over new users of one batch only
     created = fresh.select((F.coalesce(max_id, F.lit(0)) + F.row_number().over(wn)).cast("bigint").alias("user_id"),
                            "email", "google_id", F.lit("reader").alias("role"), F.col("login_ts").alias("last_login_at"))
     upd = matched.unionByName(linked).groupBy("user_id").agg(
-        F.max("login_ts").alias("_login"), F.max("_link").alias("_link"))
+        F.max("login_ts").alias("_login"), F.max_by("_link", F.struct("login_ts", "_link")).alias("_link"))
     old = (users.join(upd, "user_id", "left")
-           .select("user_id", "email", F.coalesce("google_id", "_link").alias("google_id"), "role",
+           .select("user_id", "email", F.coalesce("_link", "google_id").alias("google_id"), "role",
                    F.greatest("last_login_at", "_login").alias("last_login_at")))
     return old.unionByName(created)
 

@@ -311,9 +311,10 @@ SELECT article_id, len(reasons) = 0 AS accepted, CASE WHEN len(reasons) > 0 THEN
 FROM gated
 """))
 def c6_quality_gate(spark, sf):
-    acc, rej = C.quality_gate(_assessed(spark, sf))
-    return (acc.select("article_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("rejection_reason"))
-            .unionByName(rej.select("article_id", F.lit(False).alias("accepted"), "rejection_reason")))
+    accepted = F.size("reasons") == 0
+    return C.tag_quality(_assessed(spark, sf)).select(
+        "article_id", accepted.alias("accepted"),
+        F.when(~accepted, F.array_join("reasons", ";")).alias("rejection_reason"))
 
 
 @query("c7_rejections", _duck_assess("""

@@ -35,7 +35,7 @@ l1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY google_id ORDER
 linked AS (SELECT ex.user_id, l1.login_ts, l1.google_id FROM l1 JOIN ex ON ex.email = l1.email),
 fresh AS (SELECT * FROM l1 WHERE email NOT IN (SELECT email FROM ex)),
 mx AS (SELECT max(user_id) AS m FROM ex)
-SELECT ex.user_id, ex.email, coalesce(ex.google_id, linked.google_id) AS google_id, ex.role,
+SELECT ex.user_id, ex.email, coalesce(linked.google_id, ex.google_id) AS google_id, ex.role,
   greatest(ex.last_login_at, linked.login_ts) AS last_login_at FROM ex LEFT JOIN linked USING (user_id)
 UNION ALL
 SELECT CAST((SELECT m FROM mx) + row_number() OVER (ORDER BY login_ts, google_id) AS BIGINT), email, google_id, 'reader', login_ts FROM fresh
