@@ -31,9 +31,11 @@ def extractive_summary(df: DataFrame, id_col: str = "article_id", text: str = "b
                        lo: int = 60, hi: int = 80) -> DataFrame:
     """Sentences scored by mean document term frequency of their words plus a
     position bonus 1/(1+pos); taken best-first while the running word total stays
-    within ``hi``, then put back in document order. ``lo`` is reported as
-    ``meets_minimum``. The per-document selection is at most ``hi`` words, so the
-    final collect per document is bounded.
+    within ``hi``, then put back in document order; a sentence longer than ``hi`` can
+    be in no summary and is passed over. ``lo`` is reported as ``meets_minimum``. The
+    per-document selection is at most ``hi`` words, so the final collect per document
+    is bounded. Every row of ``df`` gives a row: without a summary it is null, with
+    ``reason`` no_text or long_sentences.
     """
     s = (df.select(F.col(id_col).alias("_id"),
                    F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_SPLIT)).alias("pos", "sentence"))
@@ -46,25 +48,31 @@ def extractive_summary(df: DataFrame, id_col: str = "article_id", text: str = "b
          .withColumn("words", word_count("sentence")))
     w = (Window.partitionBy("_id").orderBy(F.col("score").desc(), F.col("pos"))
          .rowsBetween(Window.unboundedPreceding, 0))
-    chosen = s.withColumn("_cum", F.sum("words").over(w)).where(F.col("_cum") <= hi)
-    agg = chosen.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"),
-                                    F.sum("words").alias("summary_words"))
-    return agg.select(F.col("_id").alias(id_col),
-                      F.array_join(F.transform("_s", lambda x: x["sentence"]), ". ").alias("summary"),
-                      "summary_words", (F.col("summary_words") >= lo).alias("meets_minimum"))
+    fits = F.when(F.col("words") <= hi, F.col("words")).otherwise(0)
+    chosen = F.when((F.col("words") <= hi) & (F.col("_cum") <= hi), F.struct("pos", "sentence"))
+    agg = (s.withColumn("_cum", F.sum(fits).over(w)).withColumn("_in", chosen)
+           .groupBy("_id").agg(F.array_sort(F.collect_list("_in")).alias("_s"),  # nulls aren't collected
+                               F.coalesce(F.sum(F.when(F.col("_in").isNotNull(), F.col("words"))), F.lit(0)).alias("_words")))
+    words = F.coalesce("_words", F.lit(0)).cast("bigint")
+    return df.select(F.col(id_col).alias("_id")).join(agg, "_id", "left").select(
+        F.col("_id").alias(id_col),
+        F.when(F.size("_s") > 0, F.array_join(F.transform("_s", lambda x: x["sentence"]), ". ")).alias("summary"),
+        words.alias("summary_words"), (words >= lo).alias("meets_minimum"),
+        F.when(F.col("_s").isNull(), F.lit("no_text")).when(F.size("_s") == 0, F.lit("long_sentences")).alias("reason"))
 
 
 def validate_summaries(df: DataFrame, summary: str = "summary", source: str = "title",
                        lo: int = 40, hi: int = 100, min_coverage: float = 0.5) -> DataFrame:
     """40-100 words, at least half of the source's key entities (numbers and
-    capitalised words) present, and no clickbait phrasing."""
-    ents = F.array_distinct(F.regexp_extract_all(F.col(source), F.lit(ENTITY), 0))
-    got = F.array_intersect(ents, F.regexp_extract_all(F.col(summary), F.lit(ENTITY), 0))
+    capitalised words) present, and no clickbait phrasing. A null summary has no
+    words and is not valid."""
+    text = F.coalesce(F.col(summary), F.lit(""))
+    ents = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(source), F.lit("")), F.lit(ENTITY), 0))
+    got = F.array_intersect(ents, F.regexp_extract_all(text, F.lit(ENTITY), 0))
     cov = F.when(F.size(ents) == 0, F.lit(1.0)).otherwise(F.size(got) / F.size(ents))
-    wc = word_count(summary)
+    wc = word_count(text)
     return (df.withColumn("entity_coverage", cov)
-            .withColumn("valid", (wc >= lo) & (wc <= hi) & (cov >= min_coverage)
-                        & ~F.coalesce(F.col(summary), F.lit("")).rlike(CLICKBAIT_PATTERN)))
+            .withColumn("valid", (wc >= lo) & (wc <= hi) & (cov >= min_coverage) & ~text.rlike(CLICKBAIT_PATTERN)))
 
 
 def retry_queue(results: DataFrame, key: str = "item_id", max_retries: int = 2) -> DataFrame:

@@ -166,12 +166,13 @@ def e13_highlights(spark, sf):
 
 @query("e9_build_snaps")
 def e9_build_snaps(spark, sf):
-    """Rows-only: one snap per article in its own language from the E1 summary."""
+    """Rows-only: one snap per article in its own language from the E1 summary;
+    an article without a summary gives no snap."""
     a = E.assign_template(fx.articles(spark, sf).select("article_id", "category_slug", "source_name", "title", "language"),
                           E.template_dim(spark))
     a = E.image_or_placeholder(a.withColumn("image_url", F.lit(None).cast("string")))
     stories = a.select(F.col("article_id").alias("story_id"), "snap_image", "source_name", "template")
-    tr = _summaries(spark, sf).join(a.select("article_id", "title", "language"), "article_id").select(
+    tr = _summaries(spark, sf).where(F.col("summary").isNotNull()).join(a.select("article_id", "title", "language"), "article_id").select(
         F.col("article_id").alias("story_id"), "language", F.col("title").alias("headline"), F.col("summary").alias("body"))
     return E.build_snaps(stories, tr)
 
