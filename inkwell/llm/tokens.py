@@ -2,8 +2,8 @@
 
 The public vocabularies used here split a text at a single space between other characters: the
 byte-level ones keep the space with what follows, the word one drops it. So a text's ids are those of
-its chunks in a row, and a worker keeps the ids of chunks that it has met (``MEMO`` at most; then it
-starts anew). The byte-level split has one exception: a space before more white space or at the end.
+its chunks in a row: texts are split by Arrow, each different chunk is looked up once, and the ids are
+gathered by place. A worker keeps the ids of chunks that it has met (``MEMO`` at most; then it starts anew). The byte-level split has one exception: a space before more white space or at the end.
 Texts with such a space are encoded whole.
 """
 
@@ -14,8 +14,12 @@ import struct
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks whose ids a worker keeps, and characters that are split at a time.
-MEMO, AT_A_TIME = 1_000_000, 1 << 21
+MEMO, AT_A_TIME = 1_000_000, 1 << 23
 
 
 def vocabulary(name: str) -> str:
@@ -51,14 +55,26 @@ class Chunked:
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.later) + len(self.first) > MEMO:
             self.first, self.later = {}, {}
-        parts = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parts} - self.first.keys(), "")
-        self._learn(self.later, set().union(*(p[1:] for p in parts)) - self.later.keys(), self.space)
-        out = []
-        for t, p in zip(texts, parts):
-            ids = [self.first[p[0]], *map(self.later.__getitem__, p[1:])]
-            out.append(self.encode([t])[0] if None in ids else b"".join(ids))
-        return out
+        parts = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+        text_at = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = coded.indices.to_numpy().astype(np.int64)
+        first = [chunks[c] for c in code[text_at[:-1]].tolist()]
+        self._learn(self.first, {c for c in first if c not in self.first}, "")
+        self._learn(self.later, {c for c in chunks if c not in self.later}, self.space)
+        # Entry c holds the ids of chunk c behind a space, the entries after those the first chunk of each text.
+        code[text_at[:-1]] = np.arange(len(chunks), len(chunks) + len(texts))
+        entries = [*map(self.later.__getitem__, chunks), *map(self.first.__getitem__, first)]
+        whole = np.logical_or.reduceat(np.array([e is None for e in entries])[code], text_at[:-1])
+        entries = [e or b"" for e in entries]
+        ids = np.frombuffer(b"".join(entries), dtype="<u4")
+        sizes = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        size, begin = sizes[code], (np.cumsum(sizes) - sizes)[code]
+        ends = np.cumsum(size)
+        raw = ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
+        cuts = np.r_[0, ends[text_at[1:] - 1] * 4].tolist()
+        return [self.encode([t])[0] if w else raw[a:b] for t, w, a, b in zip(texts, whole.tolist(), cuts, cuts[1:])]
 
     def _learn(self, memo: dict, new: set[str], space: str) -> None:
         if space:
@@ -68,6 +84,10 @@ class Chunked:
         # A word with one mark behind it is the word's ids and the mark's.
         marked = {c for c in new if c[-1:] in (".", ",") and c[:-1].isalpha()}
         plain = list((new - marked) | ({c[:-1] for c in marked} - memo.keys()))
+        words = [c for c in plain if c.isalpha()] if space or not self.space else []
+        if len(words) > 1:
+            memo.update(zip(words, self._words(words)))
+            plain = [c for c in plain if not c.isalpha()]
         for at in range(0, len(plain), 20_000):
             part = plain[at:at + 20_000]
             memo.update(zip(part, self.encode([space + c for c in part])))
@@ -75,6 +95,20 @@ class Chunked:
             mark = dict(zip(".,", self.encode([".", ","])))
             memo.update({c: memo[c[:-1]] + mark[c[-1]] for c in marked})
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words behind a space, many in one text with a full stop behind each. Where a word's ids hold
+        the stop's own, the number of stops tells, and those words are encoded one by one."""
+        stop, out = np.frombuffer(self.encode(["."])[0], dtype="<u4"), []
+        parts = [words[at:at + 1_000] for at in range(0, len(words), 1_000)]
+        texts = ["".join(f" {w}." for w in part) for part in parts]
+        for part, raw in zip(parts, self.encode(texts)):
+            ends = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == stop[0]) * 4 if len(stop) == 1 else []
+            if len(ends) == len(part):
+                out += [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+            else:
+                out += self.encode([" " + w for w in part])
+        return out
+
 
 def _library(path: str) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
