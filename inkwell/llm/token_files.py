@@ -60,6 +60,24 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of ``symbols``: each rule among them is expanded once and its ids are copied to its places."""
+        rule = symbols >= BASE
+        used = np.zeros(len(self.left), dtype=bool)
+        used[symbols[rule] - BASE] = True
+        rules = np.flatnonzero(used)
+        table = self._unfold(rules + BASE)
+        start = np.zeros(len(self.left), dtype=np.int64)
+        start[rules] = np.cumsum(self.expansion[rules]) - self.expansion[rules]
+        widths = self.widths(symbols)
+        at = np.cumsum(widths) - widths
+        out = np.empty(int(widths.sum()), dtype=np.int64)
+        out[at[~rule]] = symbols[~rule]
+        begin, wide = at[rule], widths[rule]
+        step = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        out[np.repeat(begin, wide) + step] = table[np.repeat(start[symbols[rule] - BASE], wide) + step]
+        return out
+
+    def _unfold(self, symbols: np.ndarray) -> np.ndarray:
         while (rule := symbols >= BASE).any():
             at = np.cumsum(1 + rule) - 1 - rule
             out = np.empty(len(symbols) + int(rule.sum()), dtype=np.int64)
@@ -88,8 +106,9 @@ def frequent_pairs(key: np.ndarray, place: np.ndarray) -> list[int]:
     kept = np.zeros(1 << _BITS, dtype=np.uint64)
     kept[place] = key
     times = np.bincount(place[kept[place] == key], minlength=1 << _BITS)
-    best = np.argpartition(times, -PAIRS)[-PAIRS:]
-    best = best[times[best] >= LEAST]
+    best = np.flatnonzero(times >= LEAST)
+    if len(best) > PAIRS:
+        best = best[np.argpartition(times[best], -PAIRS)[-PAIRS:]]
     return kept[best][np.lexsort((kept[best], -times[best]))].tolist()
 
 
