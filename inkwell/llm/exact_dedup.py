@@ -25,6 +25,8 @@ from inkwell.llm.common import scratch, stored
 from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
+#: Memory of all stores of an executor; what is beyond it lies on disk.
+STATE_MB = 128
 STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GROUP = "digest binary, first struct<no_id:boolean,doc_id:long,locator:struct<file:string,row:long>>, size long"
 
@@ -64,7 +66,8 @@ def stream_groups(spark: SparkSession, digests: str, files_per_batch: int | None
 
     rocks = "spark.sql.streaming.stateStore.rocksdb"
     settings = {"spark.sql.streaming.stateStore.providerClass": STATE,
-                f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.changelogCheckpointing.enabled": "true",
+                f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": str(STATE_MB),
+                f"{rocks}.changelogCheckpointing.enabled": "true",
                 # Else each of the many stores reserves disk for its logs, however small it is.
                 f"{rocks}.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}

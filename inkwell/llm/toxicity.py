@@ -15,7 +15,7 @@ the documents, and doc_id and toxic of the labels, are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,7 @@ SAMPLE, PER_SHARD, EPOCHS, STEM = 24_000, 8_000, 4, 5
 #: Score from which a document counts as toxic.
 CUT = 0.7
 #: Words that a worker keeps the hash of.
-MEMO = 500_000
+MEMO = 100_000
 
 _MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -58,10 +58,10 @@ def features(text: str, bits: int) -> np.ndarray:
     """Places of all words, stems and (skip) pairs of ``text``, with repeats. ASCII marks split words."""
     words = text.lower().encode().translate(_MARKS).split()
     if not words:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
     h, stems = np.array([_hashes[w] for w in words], dtype=np.uint64).T
     pairs = [h[:-gap] * _STEPS[gap - 1] + h[gap:] for gap in (1, 2, 3) if len(h) > gap]
-    return (np.concatenate([h, stems, *pairs]) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.concatenate([h, stems, *pairs]) * _MIX >> np.uint64(64 - bits)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -80,12 +80,12 @@ class Ftrl:
     toxic: float = 2.0
     full: int = 6_000
 
-    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int) -> np.ndarray:
-        l1 = max(1.0, self.l1 * min(1.0, len(rows) / self.full))
+    def fit(self, rows: Iterable[tuple[np.ndarray, int]], epochs: int) -> np.ndarray:
         bias = 1 << self.bits
+        rows = [(np.append(np.unique(x), np.int32(bias)), y) for x, y in rows]
+        l1 = max(1.0, self.l1 * min(1.0, len(rows) / self.full))
         z, n, penalty = np.zeros(bias + 1), np.zeros(bias + 1), np.full(bias + 1, l1)
         penalty[bias] = 0
-        rows = [(np.append(np.unique(x), bias), y) for x, y in rows]
         for _ in range(epochs):
             for x, y in rows:
                 w = self.weights(z[x], n[x], penalty[x])
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mo
 
     def fit(d: dict) -> dict:
         order = sorted(range(len(d["text"])), key=lambda i: xxhash.xxh64_intdigest(f"{d['doc_id'][i]} {d['text'][i]}"))
-        w = model.fit([(features(d["text"][i], model.bits), d["toxic"][i]) for i in order], EPOCHS)
+        w = model.fit(((features(d["text"][i], model.bits), d["toxic"][i]) for i in order), EPOCHS)
         at = np.flatnonzero(w)
         return {"place": at.tolist(), "weight": (w[at]).tolist(), "shard": [d["shard"][0]] * len(at)}
 
