@@ -1,13 +1,19 @@
-"""Operator 2: removal of repeated passages by sliding sentence spans.
+"""Operator 2: removal of repeated passages by sliding spans of units.
 
-A text is cut into sentences (after ``.!?`` and white space, after full-width marks, at line ends);
-a sentence of more than ``LONGEST`` words is cut after every ``LONGEST`` of them, so a long passage is
-several units even where it is one sentence. Every run of ``RUN`` consecutive units with at least
-``LEAST_WORDS`` words is hashed (white space and case apart) and met globally. Of runs with one hash the
-first in order of doc_id and place stays; the units that any other one covers are removed.
+A text is cut into units of ``SHORTEST`` to ``LONGEST`` words at places that the words around them choose:
+word by word in the order of a hash of the word and its next one, those that begin a sentence (after
+``.!?`` and white space, after full-width marks, at line ends) before all others, a word begins a unit
+unless one within ``SHORTEST`` words does already. So a passage has the same units wherever it begins,
+but for some words at its two ends, whether its sentences are short or long; only the first and the last
+unit of a text may be shorter.
 
-Hashes have 128 bits. A very frequent run is pre-aggregated to its first place before the shuffle, and
-the join back has one row for each hash on one side, so its hot keys can be split.
+Every run of ``RUN`` consecutive units with at least ``LEAST_WORDS`` words (all have, but one that holds the
+short first or last unit of a text) is hashed (white space and case apart) and met globally. Of runs with one hash the first in order of doc_id
+and place stays; the units that any other one covers are removed. What a repeated passage has before its
+first and after its last common unit stays.
+
+Hashes have 128 bits. Only the first of the equal runs of a batch of documents meets those of other
+batches, so a very frequent run has one row a batch in its task; the others are known to go.
 
 Null text counts as empty; empty and short texts have no run and stay as they are. A null doc_id comes
 after all others. Rows with equal doc_id and text are one document: they get the same result and don't
@@ -20,39 +26,72 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_batches, stored, text_rows
+from inkwell.llm.common import map_batches, text_rows
 from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
-RUN, LONGEST, LEAST_WORDS = 3, 16, 10
+RUN, SHORTEST, LEAST_WORDS = 3, 4, 10
+LONGEST = 2 * SHORTEST - 1
 
 _END = re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+\s*|\n\s*")
-_WORD = re.compile(r"\S+")
+#: White space as str.split() has it; none lies beyond the ideographic space.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+class _Hashes(dict):
+    """Hashes of the words met by this worker, a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode())
+        return h
+
+
+_hash = _Hashes().__getitem__
+
+
+def cuts(words: list[str], begins: np.ndarray) -> list[int]:
+    """The places in ``words`` where units begin; ``begins`` marks the words that begin a sentence."""
+    n = len(words)
+    h = np.fromiter(map(_hash, words), dtype=np.uint64, count=n)
+    key = h * _MIX[0]
+    key[:-1] ^= h[1:] * _MIX[1] >> np.uint64(7)
+    key = key * _MIX[1] >> np.uint64(1) | (~begins).astype(np.uint64) << np.uint64(63)
+    near, around = bytearray(n + 2 * SHORTEST), b"\1" * (2 * SHORTEST - 1)
+    out = []
+    for i in np.argsort(key, kind="stable").tolist():
+        if not near[i + SHORTEST]:
+            near[i + 1:i + 2 * SHORTEST] = around
+            out.append(i)
+    out.sort()
+    return out if out[0] == 0 else [0, *out]
+
+
+def split(text: str) -> tuple[list[str], np.ndarray]:
+    """(words, where each begins in ``text``)."""
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    solid = np.ones(len(code) + 1, dtype=bool)
+    solid[0] = False
+    solid[1:] = ~_SPACE[np.minimum(code, len(_SPACE) - 1)]
+    return text.split(), np.flatnonzero(solid[1:] & ~solid[:-1])
+
+
 def units(text: str) -> tuple[list[int], list[list[str]]]:
     """(ends, words) of the units of ``text``; a unit begins where the one before it ends."""
-    ends, words, start = [], [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        own = text[start:end].split()
-        if len(own) > LONGEST:
-            at = [start + m.start() for m in _WORD.finditer(text[start:end])]
-            for k in range(LONGEST, len(own), LONGEST):
-                ends.append(at[k])
-                words.append(own[k - LONGEST:k])
-            own = own[(len(own) - 1) // LONGEST * LONGEST:]
-        if own:
-            ends.append(end)
-            words.append(own)
-            start = end
-    if ends:
-        ends[-1] = len(text)
-    return ends, words
+    words, at = split(text)
+    if not words:
+        return [], []
+    begins = np.zeros(len(words) + 1, dtype=bool)
+    begins[np.searchsorted(at, [0, *(m.end() for m in _END.finditer(text))])] = True
+    first = cuts(words, begins[:-1])
+    return [*at[first[1:]].tolist(), len(text)], [words[i:j] for i, j in zip(first, [*first[1:], len(words)])]
 
 
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,24 +118,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, text_key, place) of every run."""
+    """(h1, h2, doc_id, text_key, place, later) of every run; ``later``: an earlier one of its batch has its hash.
+
+    A row that is later has random numbers for a hash, since it needn't meet any other.
+    """
 
     def apply(d: dict) -> dict:
-        found = [runs(t) for t in d["text"]]
-        which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found]).tolist()
+        ids, keys = d["doc_id"], d["text_key"]
+        one = {(ids[i] is None, ids[i] or 0, keys[i]): i for i in range(len(ids))}
+        docs = [one[k] for k in sorted(one)]
+        found = [runs(d["text"][i]) for i in docs]
+        which = pa.array(np.repeat(docs, [len(f[0]) for f in found]))
         at, h1, h2 = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return {"h1": h1, "h2": h2, "doc_id": [d["doc_id"][i] for i in which],
-                "text_key": [d["text_key"][i] for i in which], "place": at}
+        order = np.argsort(h1, kind="stable")
+        same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        later = np.zeros(len(at), dtype=bool)
+        later[order[1:][same]] = True
+        h1[later] = np.random.default_rng([len(at), keys[0] & 2**63 - 1]).integers(-2**63, 2**63 - 1, int(later.sum()))
+        return {"h1": pa.array(h1), "h2": pa.array(h2), "doc_id": pa.array(ids, pa.int64()).take(which),
+                "text_key": pa.array(keys, pa.int64()).take(which), "place": pa.array(at.astype(np.int32)), "later": pa.array(later)}
 
-    return map_batches(keyed(docs), apply, "h1 long, h2 long, doc_id long, text_key long, place int")
+    return map_batches(keyed(docs), apply, "h1 long, h2 long, doc_id long, text_key long, place int, later boolean")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, places): the starts of the runs of each document that are not the first."""
-    all_runs = stored(spans(docs), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
-    first = all_runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    again = all_runs.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    # Equal rows have one rank, so that they don't remove each other.
+    order = ["later", F.col("doc_id").isNull(), "doc_id", "text_key", "place"]
+    ranks = spans(docs).withColumn("rank", F.rank().over(Window.partitionBy("h1", "h2").orderBy(*order)))
+    again = ranks.where("later OR rank > 1")
     return again.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 

@@ -74,3 +74,27 @@ def test_given_documents_and_stage(spark):
     assert out.dtypes == docs.dtypes and got(out.select("doc_id", "text")) == brute(rows)
     assert out.where("n_chars <> length(text)").count() == docs.where("n_chars <> length(text)").count()
     assert S.cleaned(docs.limit(0)).count() == 0
+
+
+def windows(texts, n):
+    """How many texts hold each window of ``n`` words."""
+    held = {}
+    for t in texts:
+        words = t.split()
+        for w in {tuple(words[k:k + n]) for k in range(len(words) - n + 1)}:
+            held[w] = held.get(w, 0) + 1
+    return held
+
+
+def test_no_two_documents_keep_fifty_words(spark):
+    """Passages of 50 words and more anywhere in running text, of which no sentence border is known."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("the of and to".split()) if rng.random() < .4 else "w" + str(rng.randrange(5000))
+    prose = lambda n: [word() + (rng.random() < .03) * "." for _ in range(n)]
+    passages = [prose(n) for n in (50, 55, 60, 81, 200)]
+    rows = [(i, " ".join(prose(rng.randrange(90)) + passages[i % 5] + prose(rng.randrange(90)))) for i in range(150)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows += [(10_000 + r.doc_id, r.text) for r in docs]
+    assert max(windows([t or "" for _, t in rows], 50).values()) >= 30
+    out = got(S.cleaned(spark.createDataFrame(rows, SCHEMA)))
+    assert max(windows([t for _, t in out], 50).values()) == 1
