@@ -5,7 +5,8 @@ word by word in the order of a hash of the word and its next one, those that beg
 ``.!?`` and white space, after full-width marks, at line ends) before all others, a word begins a unit
 unless one within ``SHORTEST`` words does already. So a passage has the same units wherever it begins,
 but for some words at its two ends, whether its sentences are short or long; only the first and the last
-unit of a text may be shorter.
+unit of a text may be shorter. A character of a script written without spaces (Chinese, Japanese, Thai,
+Lao, Khmer, Burmese) counts as a word.
 
 Every run of ``RUN`` consecutive units with at least ``LEAST_WORDS`` words (all have, but one that holds the
 short first or last unit of a text) is hashed (white space and case apart) and met globally. Of runs with one hash the first in order of doc_id
@@ -24,6 +25,7 @@ and text are read, and whole texts are.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ RUN, SHORTEST, LEAST_WORDS = 3, 4, 10
 LONGEST = 2 * SHORTEST - 1
 
 _END = re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+\s*|\n\s*")
+_ALONE = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+          "\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_MARK = "".join(c for c in map(chr, [*range(0x0e00, 0x1100), *range(0x1780, 0x1800), 0x3099, 0x309a, 0xff9e, 0xff9f])
+                if unicodedata.category(c)[0] == "M" or c in "\uff9e\uff9f")
+_WORD = re.compile(rf"[{_ALONE}][{_MARK}]*|[^\s{_ALONE}]+")
+_WORD_ALONE = re.compile(f"[{_ALONE}]")
 #: White space as str.split() has it; none lies beyond the ideographic space.
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -77,6 +85,9 @@ def cuts(words: list[str], begins: np.ndarray) -> list[int]:
 def split(text: str) -> tuple[list[str], np.ndarray]:
     """(words, where each begins in ``text``)."""
     code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    if len(code) and code.max() >= 0x0e00 and _WORD_ALONE.search(text):
+        found = list(_WORD.finditer(text))
+        return [m[0] for m in found], np.array([m.start() for m in found], dtype=np.int64)
     solid = np.ones(len(code) + 1, dtype=bool)
     solid[0] = False
     solid[1:] = ~_SPACE[np.minimum(code, len(_SPACE) - 1)]

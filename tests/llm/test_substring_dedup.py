@@ -77,10 +77,10 @@ def test_given_documents_and_stage(spark):
 
 
 def windows(texts, n):
-    """How many texts hold each window of ``n`` words."""
+    """How many texts hold each window of ``n`` words (characters of texts without spaces)."""
     held = {}
     for t in texts:
-        words = t.split()
+        words = t.split() if " " in t else list(t)
         for w in {tuple(words[k:k + n]) for k in range(len(words) - n + 1)}:
             held[w] = held.get(w, 0) + 1
     return held
@@ -98,3 +98,20 @@ def test_no_two_documents_keep_fifty_words(spark):
     assert max(windows([t or "" for _, t in rows], 50).values()) >= 30
     out = got(S.cleaned(spark.createDataFrame(rows, SCHEMA)))
     assert max(windows([t for _, t in out], 50).values()) == 1
+
+
+def test_short_sentences_and_scripts_without_spaces(spark):
+    rng = random.Random(9)
+    threes = " ".join(sentence(rng, 3) for _ in range(20))
+    ones = " ".join("".join(rng.choice("EHDRWA") for _ in range(5)) + rng.choice(["!", ".!!", "."]) for _ in range(155))
+    signs = "".join(chr(rng.randrange(0x4e00, 0x9000)) + (k % 9 == 8) * "。" for k in range(80))
+    thai = "".join(chr(rng.randrange(0x0e01, 0x0e2f)) for _ in range(80))
+    own = lambda lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(40))
+    rows = [(i, sentence(rng, 9) + " " + threes + " " + sentence(rng, 9)) for i in range(40)] + [(100, ones), (101, ones)]
+    rows += [(200 + i, own(0x4e00, 0x9000) + signs + own(0x4e00, 0x9000)) for i in range(10)]
+    rows += [(300 + i, own(0x0e01, 0x0e2f) + thai + own(0x0e01, 0x0e2f)) for i in range(10)]
+    out = dict(got(S.cleaned(spark.createDataFrame(rows, SCHEMA))))
+    for first, last, size in ((0, 40, 30), (100, 102, 30), (200, 210, 50), (300, 310, 50)):
+        assert out[first] == dict(rows)[first]
+        assert max(windows([out[i] for i in range(first, last) if i in out], size).values()) == 1
+    assert len(out[101].split()) < 30
