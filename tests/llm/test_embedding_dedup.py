@@ -80,3 +80,35 @@ def test_keys_are_in_lexicographic_order(dim):
     for p in range(2):
         want = sorted(range(50), key=lambda i: (tuple(bits[i, p * 64:p * 64 + 64]), i))
         assert sorted(range(50), key=lambda i: (keys[i, p], i)) == want
+
+
+@pytest.mark.parametrize("common, n", [(0, 100_000), (.5, 40_000)])
+def test_pairs_at_the_cut_share_a_window_in_larger_tables(common, n):
+    """Planted pairs at cosine 0.9 among vectors with and without a common direction; a narrow window stands for size."""
+    rng, pairs, window = np.random.default_rng(4), 1000, 16
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    draw = lambda k: unit(np.sqrt(1 - common) * unit(rng.standard_normal((k, 64))) + np.sqrt(common) * np.eye(64)[0])
+    x = draw(n)
+    a, other = x[:pairs], draw(pairs)
+    x[pairs:2 * pairs] = .9 * a + np.sqrt(1 - .81) * unit(other - (other * a).sum(1, keepdims=True) * a)
+    middle = x.mean(axis=0)
+    passes = E.passes_for(n, float(middle @ middle), window=window)
+    assert passes > E.PASSES
+    keys, met, place = E.signs(x - middle, passes), np.zeros(pairs, dtype=bool), np.empty(n, dtype=int)
+    for p in range(passes):
+        place[np.argsort(keys[:, p], kind="stable")] = np.arange(n)
+        met |= abs(place[:pairs] - place[pairs:2 * pairs]) <= window
+    assert met.mean() >= .985
+
+
+def test_passes_grow_with_the_table_and_the_mean_is_taken_off(spark):
+    assert E.passes_for(200, 0) == 1 and E.passes_for(10**5, 0) < E.passes_for(10**6, 0) < E.passes_for(10**7, 0)
+    assert E.passes_for(10**6, 0) < E.passes_for(10**6, .5) and E.passes_for(10**6, 1) >= 10**6 / E.WINDOW
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(d) + 9).tolist()) for i, d in enumerate([8] * 70 + [5] * 30)]
+    raw, kind = E.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = E.centres(raw.repartition(7), kind)
+    assert {size: n for size, (n, _) in found.items()} == {8 * 8: 70, 5 * 8: 30}
+    for size, (_, m) in found.items():
+        x = np.array([v for _, v in rows if 8 * len(v) == size])
+        assert np.allclose(m, (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(axis=0))
