@@ -3,7 +3,7 @@
 Documents are dealt to partitions by ranges of doc_id, sorted, and encoded in that order. A partition is
 written as shards of about ``SHARD`` ids; a shard holds whole documents. In a shard, frequent pairs of
 neighbouring ids are replaced by new symbols, round after round, each round with pairs that can't overlap
-one another, until no pair is frequent or ``ROUNDS`` are done. A shard's row in the file holds:
+one another, until no pair is frequent. A shard's row in the file holds:
 
 * ``docs``, ``null_docs``, ``lengths``: its documents' ids, which of them are null, and their numbers of ids
 * ``left``, ``right``: the rules, rule i for symbol ``BASE + i``; ``expansion``: the ids that each rule stands for
@@ -35,8 +35,8 @@ from inkwell.llm.registry import query
 from inkwell.llm.tokens import end_cut, hf_encoder
 from inkwell.sources.tables import read_table
 
-#: Ids of a shard, the first symbol of a rule, rounds, pairs replaced in a round, and the least count of one.
-SHARD, BASE, ROUNDS, PAIRS, LEAST = 1 << 20, 1 << 24, 6, 4096, 8
+#: Ids of a shard, the first symbol of a rule, pairs replaced in a round, and the least count of one.
+SHARD, BASE, PAIRS, LEAST = 1 << 20, 1 << 24, 4096, 8
 _BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,23 +101,19 @@ class Grammar:
 
 
 def frequent_pairs(key: np.ndarray, place: np.ndarray) -> list[int]:
-    """Up to PAIRS of the most frequent keys, the most frequent first. Each hash place counts one of the
-    keys that fall into it, the last to occur; another one has its chance in a later round."""
-    kept = np.zeros(1 << _BITS, dtype=np.uint64)
-    kept[place] = key
-    times = np.bincount(place[kept[place] == key], minlength=1 << _BITS)
-    best = np.flatnonzero(times >= LEAST)
-    if len(best) > PAIRS:
-        best = best[np.argpartition(times[best], -PAIRS)[-PAIRS:]]
-    return kept[best][np.lexsort((kept[best], -times[best]))].tolist()
-
-
-def re_pair(ids: np.ndarray, rounds: int = ROUNDS) -> Grammar:
+    """Up to PAIRS of the most frequent keys, the most frequent first. All keys whose hash place has LEAST or
+    more are counted exactly."""
+    count = np.bincount(place, minlength=1 << _BITS)
+    keys, times = np.unique(key[count[place] >= LEAST], return_counts=True)
+    good = times >= LEAST
+    keys, times = keys[good], times[good]
+    return keys[np.lexsort((keys, -times))[:PAIRS]].tolist()
+
+
+def re_pair(ids: np.ndarray) -> Grammar:
     """Replace frequent pairs of ``ids`` (below BASE) by rules."""
     seq, left, right, width = ids.astype(np.int64), [], [], []
-    for _ in range(rounds):
-        if len(seq) < 2 * LEAST:
-            break
+    while len(seq) >= 2 * LEAST:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
         place = (key * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)
         chosen, firsts, seconds = [], set(), set()

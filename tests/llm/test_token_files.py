@@ -73,3 +73,16 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     R.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, hf_encoder("word_bpe_49k.json", False), 1)
     assert R.read_tokens(spark, path).count() == 0
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(6)
+    zipf = np.minimum(rng.zipf(1.3, 200_000), 50_000)
+    copies = np.tile(rng.integers(0, 50_000, 3000), 40)
+    for ids in (zipf, copies):
+        g = R.re_pair(ids)
+        assert (g.ids() == ids).all()
+        a, b = g.sequence[:-1], g.sequence[1:]
+        pairs, times = np.unique(a[a != b] << 32 | b[a != b], return_counts=True)
+        assert not len(pairs) or times.max() < R.LEAST
+    assert len(g.sequence) <= 40
