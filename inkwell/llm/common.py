@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,29 @@ def in_key(share: int, of: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == share, F.lit(False))
 
 
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows that hold about ``size`` bytes of strings at most, one row at least."""
+    wide = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            wide += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(wide), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` (dict of Python lists to dict of lists or Arrow arrays) to each Arrow batch of ``df``."""
+    """Apply ``fn`` (dict of Python lists to dict of lists or Arrow arrays) to each Arrow batch of ``df``, a few MB
+    at a time."""
     out = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield _batch(fn(b.to_pydict()), out)
+            for part in slices(b):
+                yield _batch(fn(part.to_pydict()), out)
 
     return df.mapInArrow(run, schema)
 
