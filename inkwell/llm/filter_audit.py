@@ -2,7 +2,7 @@
 
 A filter is a letter with a condition on a row. One more, the duplicate filter, fails a row whose whole text
 another row with a smaller doc_id has: an existential self-join, left-semi on hash, exact text and smaller
-doc_id, whose right side is first reduced to the smallest doc_id of each text. The ids that it finds are united with the ids that
+doc_id, whose right side is first reduced to the smallest doc_id of each text. Texts whose hash is alone stay out. The ids that it finds are united with the ids that
 the other conditions fail and summed to one bit pattern a row; rows are counted by part, pattern and labels.
 There are at most ``2 ** n`` patterns a part, and all orders are played on those counts, not on rows: before a
 step come the bits of the filters to its left, so what a step removes, keeps or finds already removed is a
@@ -51,30 +51,41 @@ def quality_bits(docs: DataFrame) -> DataFrame:
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, more, hash) of ``docs`` whose text a row with a smaller doc_id has."""
+    """Rows (doc_id, text, hash) of ``docs`` (doc_id, text) whose text a row with a smaller doc_id has."""
     rows = docs.where(F.col("doc_id").isNotNull()).withColumn("hash", F.xxhash64("text"))
     total = docs.count()
-    slices = F.ceil(F.col("n") * SLICES / max(1, total)).cast("int").alias("slices")
-    hot = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") * SLICES > total).select("hash", slices)
-    hot = F.broadcast(hot)  # fewer than SLICES rows of two numbers
-    first = rows.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))
-    last = F.coalesce(F.col("slices") - 1, F.lit(0))
-    right = first.join(hot, "hash", "left").select("hash", "text", "first", F.explode(F.sequence(F.lit(0), last)).alias("slice"))
-    left = rows.join(hot, "hash", "left").withColumn(
+    counts = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    many = F.col("n") * SLICES > total
+    counts = counts.select("hash", many.alias("many"), F.when(many, F.ceil(F.col("n") * SLICES / max(1, total)))
+                           .otherwise(1).cast("int").alias("slices"))
+    hot = F.broadcast(counts.where("many").select("hash", "slices"))  # fewer than SLICES rows of two numbers
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice")
+    dealt = rows.join(hot, "hash", "left").withColumn(
         "slice", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("hash", "slice", "text")]
-    return left.alias("l").join(right.alias("r"), [*same, F.col("r.first") < F.col("l.doc_id")], "left_semi")
+    # Texts are shuffled once, here; only those whose hash occurs again go on.
+    left = dealt.join(counts.select("hash", each), ["hash", "slice"], "left_semi")
+    first = left.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))
+    right = first.join(hot, "hash", "left").select("hash", "text", "first", each)
+    dealt_alike = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("hash", "slice")]
+    # Equality as two bounds is no join key: the left side stays dealt as it is.
+    same = (F.col("l.text") >= F.col("r.text")) & (F.col("l.text") <= F.col("r.text"))
+    return left.alias("l").join(right.alias("r"), [*dealt_alike, same & (F.col("r.first") < F.col("l.doc_id"))], "left_semi")
 
 
 def combinations(docs: DataFrame, labels: DataFrame, part: str = "lang", duplicate: int = 16) -> DataFrame:
     """(part, bits, good, toxic, n): the rows of each part by the filters that they fail and by label."""
     rows = text_rows(docs, F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
-    # A row is named by its id, part and text's hash: repeated rows share a name and are counted.
-    name = ["doc_id", "part", "hash"]
-    hashed = F.xxhash64("text").alias("hash")
-    failing = quality_bits(rows).select("doc_id", "part", hashed, "bits", F.lit(1).alias("n"))
-    copies = later_copies(rows).select("doc_id", "part", "hash", F.lit(duplicate).alias("bits"), F.lit(0).alias("n"))
-    patterns = failing.unionByName(copies).groupBy(*name).agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+    # A row is named by its id and its text's hash; repeated rows share a name and are counted by part.
+    failing = quality_bits(rows).groupBy("doc_id", F.xxhash64("text").alias("hash"), "part").agg(
+        F.max("bits").alias("bits"), F.count("*").alias("n"))
+    own = F.struct("part", "bits", "n")
+    failing = failing.select("doc_id", "hash", own.alias("own"), F.lit(0).alias("more"))
+    nothing = F.lit(None).cast(failing.schema["own"].dataType).alias("own")
+    copies = later_copies(rows.select("doc_id", "text")).select("doc_id", "hash", nothing, F.lit(duplicate).alias("more"))
+    # A name's list has one entry for each part that it occurs in.
+    united = failing.unionByName(copies).groupBy("doc_id", "hash").agg(F.bit_or("more").alias("more"), F.collect_list("own").alias("own"))
+    patterns = united.select("doc_id", "more", F.explode("own").alias("own")).select(
+        "doc_id", "own.part", F.col("own.bits").bitwiseOR(F.col("more")).alias("bits"), "own.n")
     # A doc_id that many rows have is a few rows before it meets its labels.
     patterns = patterns.groupBy("doc_id", "part", "bits").agg(F.sum("n").alias("n"))
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
