@@ -124,30 +124,37 @@ def filter_sources(df: DataFrame, language: str | None = None, scrape_type: str
     return df
 
 
+def health_counts(log: DataFrame) -> DataFrame:
+    """Per ``source_key`` of a scrape log: counts of successes and errors, the last event and the last error. Counts
+    add up and events are compared, so two such tables merge into that of both logs."""
+    err = F.col("status") == "error"
+    message = F.col("error") if "error" in log.columns else F.lit(None).cast("string")
+    event = F.struct("ts", "seq", "status")
+    return log.groupBy("source_key").agg(
+        F.count_if(F.col("status") == "success").alias("success_count"), F.count_if(err).alias("error_count"),
+        F.max(event).alias("last_event"), F.max(F.when(err, F.struct("ts", "seq", message.alias("error")))).alias("last_error_event"))
+
+
+def health_view(counts: DataFrame) -> DataFrame:
+    """Health by ``health_counts``: success rate (1.0 with no scrapes), and healthy where the last event is a success
+    or the rate is 0.5 or more."""
+    total = F.col("success_count") + F.col("error_count")
+    rate = F.when(total == 0, F.lit(1.0)).otherwise(F.col("success_count") / total)
+    return counts.select(
+        "source_key", F.col("success_count").cast("bigint").alias("success_count"),
+        F.col("error_count").cast("bigint").alias("error_count"), F.col("last_event.ts").alias("last_scrape_time"),
+        F.col("last_error_event.ts").alias("last_error_time"), F.col("last_error_event.error").alias("last_error"),
+        rate.alias("success_rate"),
+        ((F.col("last_event.status") == "success") | (rate >= 0.5) | (total == 0)).alias("is_healthy"))
+
+
 def source_health(scrape_log: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source success/error counts, last scrape time, last error, success
     rate (1.0 with no scrapes) and is_healthy = last event ok OR rate >= 0.5 OR no
     events. Log rows of unknown sources are dropped (left_semi on the key)."""
     log = scrape_log.withColumn("source_key", source_key("source_name"))
     known = sources.select(source_key("source_name").alias("source_key"))
-    log = log.join(known, "source_key", "left_semi")
-    has_msg = "error" in scrape_log.columns
-    err = F.col("status") == "error"
-    agg = log.groupBy("source_key").agg(
-        F.count_if(F.col("status") == "success").alias("success_count"),
-        F.count_if(err).alias("error_count"),
-        F.max("ts").alias("last_scrape_time"),
-        F.max_by(F.col("status"), F.struct("ts", "seq")).alias("last_status"),
-        F.max(F.when(err, F.col("ts"))).alias("last_error_time"),
-        (F.max_by(F.col("error"), F.when(err, F.struct("ts", "seq"))) if has_msg
-         else F.lit(None).cast("string")).alias("last_error"))
-    total = F.col("success_count") + F.col("error_count")
-    rate = F.when(total == 0, F.lit(1.0)).otherwise(F.col("success_count") / total)
-    return agg.select(
-        "source_key", F.col("success_count").cast("bigint").alias("success_count"),
-        F.col("error_count").cast("bigint").alias("error_count"), "last_scrape_time", "last_error_time",
-        "last_error", rate.alias("success_rate"),
-        ((F.col("last_status") == "success") | (rate >= 0.5) | (total == 0)).alias("is_healthy"))
+    return health_view(health_counts(log.join(known, "source_key", "left_semi")))
 
 
 def sources_with_health(src: DataFrame, health: DataFrame) -> DataFrame:

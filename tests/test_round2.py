@@ -8,7 +8,7 @@ from inkwell.operators.components import connected_components
 from inkwell.operators.parse import parse_time, repair_encoding
 from inkwell.operators.similarity import near_dup_pairs
 from inkwell.operators.users import comment_rejects, comment_threads
-from inkwell.streaming.jobs import stage_files
+from inkwell.streaming.jobs import time_slices
 
 
 def test_long_paths_are_one_component(spark):
@@ -29,10 +29,11 @@ def test_zone_names(spark):
     assert got == [dt.datetime(2024, 1, 2, 15), dt.datetime(2024, 1, 2, 10), dt.datetime(2024, 1, 2, 17), None]
 
 
-def test_staging_keeps_rows_without_time(spark, tmp_path):
+def test_slices_keep_rows_without_time(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(100)] + [(100, None)], "i int, o double")
-    stage_files(df, str(tmp_path / "s"), "o")
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 101
+    assert [d.count() for d in time_slices(df, "o", 4)] == [26, 25, 25, 25]
+    assert [d.count() for d in time_slices(df.limit(0), "o", 4)] == [0]
+    assert sum(d.count() for d in time_slices(df.where("i = 7"), "o", 4)) == 1
 
 
 def test_windows_ignore_the_session_time_zone(spark):
