@@ -75,12 +75,14 @@ def apply_patches(requests: DataFrame, prefs: DataFrame) -> tuple[DataFrame, Dat
     fewer than 3 categories is rejected whole; an empty language list is accepted."""
     bad_rows = requests.where(F.col("categories").isNotNull() & (F.size("categories") < MIN_CATEGORIES))
     good = requests.join(bad_rows.select("user_id", "ts"), ["user_id", "ts"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = (good.select("user_id",
-                        F.last(_csv("categories"), ignorenulls=True).over(w).alias("_cats"),
-                        F.last(F.when(F.col("languages").isNotNull(), _csv("languages")), ignorenulls=True).over(w).alias("_langs"),
-                        F.last("notification_enabled", ignorenulls=True).over(w).alias("_notif"))
-            .distinct())
+
+    def newest(value, given):
+        return F.max_by(value, F.when(F.col(given).isNotNull(), F.col("ts")))
+
+    # The latest value that is given, field by field: a user's patches meet as one row a map task.
+    last = good.groupBy("user_id").agg(
+        newest(_csv("categories"), "categories").alias("_cats"), newest(_csv("languages"), "languages").alias("_langs"),
+        newest("notification_enabled", "notification_enabled").alias("_notif"))
     j = prefs.join(last, "user_id", "full_outer")
     out = j.select("user_id", F.coalesce("_langs", "preferred_languages", F.lit("en")).alias("preferred_languages"),
                    F.coalesce("_cats", "preferred_categories").alias("preferred_categories"),

@@ -70,6 +70,39 @@ def f2_apply_onboarding(spark, sf):
     return out
 
 
+_CATS = fx.CATEGORY_SLUGS
+
+
+@query("f3_apply_patches", with_views("""
+WITH c AS (SELECT [""" + ",".join(f"'{x}'" for x in _CATS) + """] AS cats),
+r AS (SELECT user_id, ts + to_microseconds(event_id) AS ts, CASE WHEN event_id % 3 = 0 THEN
+    cats[CAST(event_id % 15 + 1 AS INT):CAST(event_id % 15 + 2 + event_id % 4 AS INT)] END AS categories,
+  CASE WHEN event_id % 8 = 5 THEN [] WHEN event_id % 4 = 1 THEN ['en', 'fr'] END AS languages,
+  CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 END AS notification_enabled
+  FROM interactions, c WHERE interaction_type = 'share'),
+good AS (SELECT * FROM r WHERE categories IS NULL OR len(categories) >= 3),
+l AS (SELECT user_id, arg_max(array_to_string(categories, ','), CASE WHEN categories IS NOT NULL THEN ts END) AS cats,
+  arg_max(array_to_string(languages, ','), CASE WHEN languages IS NOT NULL THEN ts END) AS langs,
+  arg_max(notification_enabled, CASE WHEN notification_enabled IS NOT NULL THEN ts END) AS notif FROM good GROUP BY user_id)
+SELECT coalesce(p.user_id, l.user_id) AS user_id, coalesce(l.langs, p.preferred_languages, 'en') AS preferred_languages,
+  coalesce(l.cats, p.preferred_categories) AS preferred_categories, coalesce(l.notif, p.notification_enabled, true) AS notification_enabled,
+  coalesce(b.n, 0) AS rejected
+FROM preferences p FULL OUTER JOIN l ON l.user_id = p.user_id
+LEFT JOIN (SELECT user_id, count(*) AS n FROM r WHERE len(categories) < 3 GROUP BY user_id) b ON b.user_id = coalesce(p.user_id, l.user_id)
+""", "interactions", "preferences"))
+def f3_apply_patches(spark, sf):
+    """Every share stands for a patch of some fields; some list too few categories and are rejected whole."""
+    n = F.col("event_id")
+    cats = F.slice(F.array(*map(F.lit, _CATS)), (n % 15 + 1).cast("int"), (n % 4 + 2).cast("int"))
+    patches = fx.interactions(spark, sf).where("interaction_type = 'share'").select(
+        "user_id", F.expr("timestampadd(MICROSECOND, cast(event_id as int), ts)").alias("ts"), F.when(n % 3 == 0, cats).alias("categories"),
+        F.when(n % 8 == 5, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit("en"), F.lit("fr"))).alias("languages"),
+        F.when(n % 5 == 0, n % 2 == 0).alias("notification_enabled"))
+    out, bad = U.apply_patches(patches, fx.preferences(spark, sf))
+    count = bad.groupBy("user_id").agg(F.count("*").alias("rejected"))
+    return out.join(count, "user_id", "left").fillna(0, ["rejected"])
+
+
 @query("f4_user_profile", with_views("""
 SELECT u.user_id, u.language, p.preferred_languages, p.preferred_categories, p.notification_enabled, p.user_id IS NULL AS needs_onboarding
 FROM users u LEFT JOIN preferences p USING (user_id)
