@@ -127,13 +127,14 @@ def _per_user_max_scale(df: DataFrame, col: str) -> F.Column:
 
 
 def hybrid_score(content: DataFrame | None, cf: DataFrame | None, trending: DataFrame | None,
-                 weights: dict | None = None) -> DataFrame:
+                 weights: dict | None = None, config: DataFrame | None = None, offered: DataFrame | None = None) -> DataFrame:
     """H9 (R7): blend = w_c·content + w_cf·collaborative + w_t·trending.
 
-    Content and ALS scores are scaled by the user's max (negatives → 0), trending
-    by its global max (a scalar subquery); a missing
-    score counts 0. ``content``: user_id, article_id, content_score; ``cf``:
-    user_id, item_id, cf_score; ``trending``: item_id, velocity (per item).
+    Content and ALS scores are scaled by the user's max (negatives → 0), trending by its global max (a scalar
+    subquery); a missing score counts 0. ``content``: user_id, article_id, content_score; ``cf``: user_id, item_id,
+    cf_score; ``trending``: item_id, velocity (per item). The three are joined full outer: ``offered`` (user_id, article_id)
+    says which trending items are candidates of a user beyond those that content and collaborative scores name.
+    ``config`` (user_id, w_content, w_collaborative, w_trending) sets a user's own weights (H14).
     """
     w = dict(HYBRID_WEIGHTS, **(weights or {}))
     parts = []
@@ -143,6 +144,8 @@ def hybrid_score(content: DataFrame | None, cf: DataFrame | None, trending: Data
     if cf is not None:
         parts.append(cf.select("user_id", F.col("item_id").cast("bigint").alias("article_id"),
                                _per_user_max_scale(cf, "cf_score").alias("cf")))
+    if offered is not None:
+        parts.append(offered.select("user_id", "article_id").distinct())
     base = parts[0]
     for p in parts[1:]:
         base = base.join(p, ["user_id", "article_id"], "full_outer")
@@ -156,10 +159,78 @@ def hybrid_score(content: DataFrame | None, cf: DataFrame | None, trending: Data
         base = base.join(t, "article_id", "left")
     else:
         base = base.withColumn("t", F.lit(0.0))
+    names = {"w_content": "content", "w_collaborative": "collaborative", "w_trending": "trending"}
+    if config is not None:
+        base = base.join(config.select("user_id", *names), "user_id", "left")
+        wc, wcf, wt = (F.coalesce(F.col(c), F.lit(w[k])) for c, k in names.items())
+    else:
+        wc, wcf, wt = (F.lit(w[k]) for k in names.values())
     c, cf, t = (F.coalesce(F.col(x), F.lit(0.0)) for x in ("c", "cf", "t"))
     return base.select("user_id", "article_id", c.alias("content_part"), cf.alias("cf_part"), t.alias("trending_part"),
-                       (F.lit(w["content"]) * c + F.lit(w["collaborative"]) * cf + F.lit(w["trending"]) * t)
-                       .alias("hybrid_score"))
+                       (wc * c + wcf * cf + wt * t).alias("hybrid_score"))
+
+
+def undominated(items: DataFrame, velocity: DataFrame, k: int) -> DataFrame:
+    """Of each category the items that can be among the ``k`` best of anyone without a collaborative score for them.
+
+    ``items``: article_id, category_slug, recency. All items of a category have one content score for a user, so an
+    item with k others of no less velocity and recency (and a smaller id, where both are equal) is never among the
+    best k. Kept are the k most recent of each velocity, and the k smallest ids of it for scores that are all zero: a few
+    times k a category, whatever the number of articles. Spark limits the groups before it shuffles.
+    """
+    v = velocity.select(F.col("item_id").alias("article_id"), "velocity")
+    j = items.join(v, "article_id", "left").withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
+    group = Window.partitionBy("category_slug", "velocity")
+
+    def best(*order) -> DataFrame:
+        return j.withColumn("_r", F.row_number().over(group.orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+    return best(F.col("recency").desc(), "article_id").union(best("article_id")).distinct()
+
+
+#: Rows of a side that may be sent to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` rows; as it is otherwise, for a join that AQE splits."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def feed_profile(profile: DataFrame, routes: DataFrame, prefs: DataFrame) -> DataFrame:
+    """(user_id, category_slug, affinity) that a feed goes by (H5): the decayed profile of users on the model's route, and
+    the preferred categories, alike, of those on the preferences' route."""
+    model = profile.join(routes.where("route = 'model'").select("user_id"), "user_id", "left_semi")
+    cold = routes.where("route = 'preferences'").select("user_id").join(
+        prefs.select("user_id", F.explode(F.split("preferred_categories", ",")).alias("category_slug")), "user_id")
+    return model.select("user_id", "category_slug", "affinity").unionByName(
+        cold.select("user_id", F.trim("category_slug").alias("category_slug"), F.lit(1.0).alias("affinity")))
+
+
+def feed_scores(users: DataFrame, profile: DataFrame, items: DataFrame, velocity: DataFrame, cf: DataFrame, categories: list[str],
+                k: int, config: DataFrame | None = None) -> DataFrame:
+    """Scored candidates (user_id, article_id, category_slug, score) of every user, in all ``categories``.
+
+    A user meets the undominated items of every category, touched or not, and the items of ``cf`` (user_id, item_id,
+    cf_score); nothing else can be among the k best of a category. ``items``: article_id, category_slug, recency.
+    score = hybrid (H9, with a user's own weights) times recency.
+    """
+    some = undominated(items, velocity, k)
+    norm = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("affinity") * F.col("affinity"))).alias("_norm"))
+    p = profile.join(norm, "user_id").select("user_id", "category_slug", (F.col("affinity") / F.col("_norm")).alias("content_score"))
+    every = users.select("user_id", F.explode(F.array(*map(F.lit, categories))).alias("category_slug"))
+    content_of = every.join(p, ["user_id", "category_slug"], "left").withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
+    attrs = items.select("article_id", "category_slug", "recency")
+    own = cf.select("user_id", F.col("item_id").cast("bigint").alias("article_id")).join(attrs, "article_id").join(
+        users.select("user_id"), "user_id", "left_semi").select("user_id", "article_id", "category_slug")
+    offered = content_of.select("user_id", "category_slug").join(
+        sized_broadcast(some.select("article_id", "category_slug")), "category_slug").select("user_id", "article_id", "category_slug")
+    pairs = offered.unionByName(own).distinct().join(content_of, ["user_id", "category_slug"])
+    scored_cf = cf.join(attrs.select(F.col("article_id").alias("item_id")), "item_id", "left_semi").join(
+        users.select("user_id"), "user_id", "left_semi")
+    h = hybrid_score(pairs, scored_cf, velocity, config=config)
+    return h.join(attrs, "article_id").select("user_id", "article_id", "category_slug",
+                                              F.round(F.col("hybrid_score") * F.col("recency"), 9).alias("score"))
 
 
 def recency_factor(ts, as_of) -> F.Column:
@@ -170,60 +241,54 @@ def recency_factor(ts, as_of) -> F.Column:
 
 
 def diverse_feed(scored: DataFrame, engaged: DataFrame, k: int = 20, ratio: float = 0.2,
-                 cap: float = 0.5) -> DataFrame:
+                 cap: float = 0.5, config: DataFrame | None = None) -> DataFrame:
     """H11 (R9): per user a feed of at most k items where about ``ratio`` of the
     slots go to categories the user has not engaged with and no category exceeds
     ``cap`` of the returned feed.
 
-    scored: user_id, article_id, category_slug, score; engaged: user_id, category_slug.
+    scored: user_id, article_id, category_slug, score; engaged: user_id, category_slug; ``config`` (user_id,
+    diversity_ratio) sets a user's own ratio (H14), in whole percents.
     Main pool = engaged-category items with rank-in-category <= floor(cap·k), top
     (1-ratio)·k by score; diversity pool = top ratio·k of the other categories.
     The largest category of the union keeps its best min(m, floor(rest·cap/(1-cap)))
     items; with one category only, floor(cap·k) items flagged ``cap_relaxed``.
-    Diversity items take every fifth slot.
+    The j-th diversity item takes slot ceil(j / ratio), every fifth at 20 %; main items fill the others.
     """
-    n_div = int(round(ratio * k))
-    n_main = k - n_div
     per_cat = int(math.floor(cap * k))
     eng = engaged.select("user_id", "category_slug").distinct().withColumn("_eng", F.lit(True))
     s = scored.join(eng, ["user_id", "category_slug"], "left").withColumn("_div", F.col("_eng").isNull())
+    own = F.lit(None).cast("double")
+    if config is not None:
+        s = s.join(config.select("user_id", "diversity_ratio"), "user_id", "left")
+        own = F.col("diversity_ratio")
+    s = s.withColumn("_pct", F.round(F.coalesce(own, F.lit(ratio)) * 100).cast("int"))
+    n_div = F.round(F.col("_pct") * k / 100).cast("int")
     by_score = [F.col("score").desc(), F.col("article_id")]
-    main = (s.where(~F.col("_div"))
-            .withColumn("_rc", F.row_number().over(Window.partitionBy("user_id", "category_slug").orderBy(*by_score)))
-            .where(F.col("_rc") <= per_cat)
-            .withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(*by_score)))
-            .where(F.col("_r") <= n_main))
-    div = (s.where(F.col("_div"))
-           .withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(*by_score)))
-           .where(F.col("_r") <= n_div))
-    u = main.select("user_id", "article_id", "category_slug", "score", F.lit(False).alias("diversity")).unionByName(
-        div.select("user_id", "article_id", "category_slug", "score", F.lit(True).alias("diversity")))
+    # A ranking's bound is a constant for Spark's limit before the shuffle; a user's own share is taken after it.
+    first = (s.withColumn("_rc", F.row_number().over(Window.partitionBy("user_id", "category_slug").orderBy(*by_score)))
+             .where(F.col("_rc") <= k).where(F.col("_div") | (F.col("_rc") <= per_cat)))
+    u = (first.withColumn("_r", F.row_number().over(Window.partitionBy("user_id", "_div").orderBy(*by_score)))
+         .where(F.col("_r") <= k).where(F.col("_r") <= F.when(F.col("_div"), n_div).otherwise(k - n_div)))
+    u = u.select("user_id", "article_id", "category_slug", "score", F.col("_div").alias("diversity"), "_pct")
     # Category sizes inside the union; the largest category (ties: smallest slug).
     wc = Window.partitionBy("user_id", "category_slug")
     wu = Window.partitionBy("user_id")
     u = (u.withColumn("_cat_n", F.count("*").over(wc))
          .withColumn("_tot", F.count("*").over(wu))
-         .withColumn("_cat_rank", F.row_number().over(wc.orderBy(*by_score))))
-    big = (u.select("user_id", "category_slug", "_cat_n").distinct()
-           .withColumn("_o", F.row_number().over(Window.partitionBy("user_id").orderBy(
-               F.col("_cat_n").desc(), F.col("category_slug"))))
-           .where("_o = 1").select("user_id", F.col("category_slug").alias("_big"), F.col("_cat_n").alias("_m")))
-    u = u.join(big, "user_id")
-    rest = F.col("_tot") - F.col("_m")
-    allowed = F.least(F.col("_m"), F.floor(rest * F.lit(cap) / F.lit(1.0 - cap)))
+         .withColumn("_cat_rank", F.row_number().over(wc.orderBy(*by_score)))
+         .withColumn("_big", F.min(F.struct((-F.col("_cat_n")).alias("n"), F.col("category_slug").alias("slug"))).over(wu)))
+    rest = F.col("_tot") + F.col("_big.n")
+    allowed = F.least(-F.col("_big.n"), F.floor(rest * F.lit(cap) / F.lit(1.0 - cap)))
     relaxed = rest == 0
     keep = (F.when(relaxed, F.col("_cat_rank") <= per_cat)
-            .when(F.col("category_slug") == F.col("_big"), F.col("_cat_rank") <= allowed)
+            .when(F.col("category_slug") == F.col("_big.slug"), F.col("_cat_rank") <= allowed)
             .otherwise(F.lit(True)))
-    kept = u.where(keep).withColumn("cap_relaxed", relaxed)
-    # Slots: main items in score order fill slots 1-4, 6-9, ...; diversity items 5, 10, ...
-    r_main = F.row_number().over(Window.partitionBy("user_id", "diversity").orderBy(*by_score))
-    kept = kept.withColumn("_rr", r_main)
-    slot = F.when(F.col("diversity"), F.col("_rr") * 5).otherwise(F.col("_rr") + F.floor((F.col("_rr") - 1) / 4))
-    kept = kept.withColumn("_slot", slot)
+    kept = u.withColumn("cap_relaxed", relaxed).where(keep)
+    kept = kept.withColumn("_rr", F.row_number().over(Window.partitionBy("user_id", "diversity").orderBy(*by_score)))
+    slot = F.expr("CASE WHEN diversity THEN (_rr * 100 + _pct - 1) div _pct ELSE _rr + (_rr - 1) * _pct div (100 - _pct) END")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("_slot", F.col("diversity").desc()))
-    return kept.select("user_id", "article_id", "category_slug", "score", "diversity", "cap_relaxed",
-                       pos.alias("position"))
+    return kept.withColumn("_slot", slot).select("user_id", "article_id", "category_slug", "score", "diversity", "cap_relaxed",
+                                                 pos.alias("position"))
 
 
 def feed_skew(feed: DataFrame, cap: float = 0.5) -> DataFrame:
@@ -320,8 +385,6 @@ def list_overlap(a: DataFrame, b: DataFrame, n: int = 10) -> DataFrame:
     return agg.withColumn("jaccard", F.col("inter") / F.col("union"))
 
 
-def engaged_categories(profile: DataFrame, top: int = 3) -> DataFrame:
-    """A user's engaged set: the ``top`` categories by decayed affinity (H2)."""
-    w = Window.partitionBy("user_id").orderBy(F.col("affinity").desc(), F.col("category_slug"))
-    return profile.where(F.col("affinity") > 0).withColumn("_r", F.row_number().over(w)).where(
-        F.col("_r") <= top).select("user_id", "category_slug")
+def engaged_categories(profile: DataFrame) -> DataFrame:
+    """A user's engaged set: every category with affinity (H2, or preferences by ``feed_profile``)."""
+    return profile.where(F.col("affinity") > 0).select("user_id", "category_slug")

