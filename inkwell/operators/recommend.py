@@ -10,17 +10,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import md5_bucket
 from inkwell.functions.time import age_seconds_exact, ts_lit
+from inkwell.session import cut_lineage
 
 HALF_LIFE_DAYS = 3.0
 # Hybrid weights (spec).
 HYBRID_WEIGHTS = {"content": 0.40, "collaborative": 0.35, "trending": 0.25}
 ENGAGED_TYPES = ("like", "bookmark", "comment", "share")
 N_CATEGORIES = 19
+#: Rows of a side that may be sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def _decay(age_s, half_life_days: float) -> F.Column:
@@ -104,21 +110,92 @@ def train_als(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float
     return als.fit(data)
 
 
-def als_recommend(model, users: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:
-    """H8: top-n ALS items per user with seen items removed.
+_TOP = "user_id long, item_id long, cf_score double"
+_TOP_ARROW = pa.schema([("user_id", pa.int64()), ("item_id", pa.int64()), ("cf_score", pa.float64())])
+
+
+def _best_of_cell(n: int):
+    """The ``n`` best unseen items of a block for each user of a block, by one product of matrices."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        people, seen = left.filter(pc.is_null(left["item_id"])), left.filter(pc.is_valid(left["item_id"]))
+        if not people.num_rows or not right.num_rows:
+            return _TOP_ARROW.empty_table()
+        users, items = people["user_id"].to_numpy(), right["item_id"].to_numpy()
+        order = np.argsort(items)
+        items = items[order]
+        u, v = (np.stack(t["v"].to_numpy()) for t in (people, right))
+        score = u.astype(np.float64) @ v[order].astype(np.float64).T
+        if seen.num_rows:
+            by_user = np.argsort(users)
+            i = by_user[np.searchsorted(users[by_user], seen["user_id"].to_numpy())]
+            score[i, np.searchsorted(items, seen["item_id"].to_numpy())] = -np.inf
+        m = min(n, len(items))
+        # Of equal scores the smaller id is the better: a stable sort of ascending ids.
+        at = np.argsort(-score, axis=1, kind="stable")[:, :m]
+        top = np.take_along_axis(score, at, axis=1)
+        good = top > -np.inf
+        return pa.table([np.repeat(users, m)[good.ravel()], items[at][good], top[good]], schema=_TOP_ARROW)
+
+    return best
+
 
-    ``recommendForUserSubset`` is asked for n + (largest seen count) items, so after
-    removing seen items every user still has n (or all remaining) items.
+def top_products(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, rows: int = 2048) -> DataFrame:
+    """Exact top ``n`` inner products per user with seen items left out: user_id, item_id, cf_score, rank.
+
+    ``users`` (user_id, v), ``items`` (item_id, v), ``seen`` (user_id, item_id). Items lie in blocks by descending norm.
+    All users meet the first block; of the others a block of users meets only those in which a product of norms
+    exceeds some user's n-th best so far. Seen pairs come to the cell of their user and item as rows, so no list of
+    what a user has seen is ever held, and no user's number of them matters to others. Ties: smaller item id.
     """
-    s = seen.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"))
-    most_seen = s.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    u = users.select(F.col("user_id").cast("int").alias("user_id"))
-    recs = model.recommendForUserSubset(u, n + int(most_seen))
-    flat = recs.select("user_id", F.explode("recommendations").alias("r")).select(
-        "user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").cast("double").alias("cf_score"))
-    unseen = flat.join(s, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(F.col("cf_score").desc(), F.col("item_id"))
-    return unseen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    def norm(c: str):
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+    parts = [max(1, -(-d.count() // rows)) for d in (users, items)]
+    u = cut_lineage(users.select(F.col("user_id").cast("long").alias("user_id"), "v", norm("v").alias("size"),
+                                 F.pmod(F.xxhash64("user_id"), F.lit(parts[0])).alias("ub")))
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), "v", norm("v").alias("size"))
+    i = i.repartitionByRange(parts[1], F.col("size").desc(), "item_id") if parts[1] > 1 else i.coalesce(1)
+    i = cut_lineage(i.withColumn("ib", F.spark_partition_id()))
+    pairs = seen.select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
+    pairs = pairs.join(u.select("user_id", "ub"), "user_id").join(i.select("item_id", "ib"), "item_id")
+    blocks = i.groupBy("ib").agg(F.max("size").alias("most"))
+    first = blocks.agg(F.min("ib")).first()[0]
+    rank = Window.partitionBy("user_id").orderBy(F.col("cf_score").desc(), "item_id")
+
+    def meet(cells: DataFrame) -> DataFrame:
+        """``cells``: ub, ib."""
+        c = cells.select(F.col("ub").alias("_u"), F.col("ib").alias("_i"))
+        people = u.join(F.broadcast(c) if parts[0] * parts[1] <= BROADCAST_ROWS else c, F.col("ub") == F.col("_u")).select(
+            "ub", F.col("_i").alias("ib"), "user_id", F.lit(None).cast("long").alias("item_id"), "v")
+        known = pairs.join(cells, ["ub", "ib"], "left_semi").select("ub", "ib", "user_id", "item_id", F.lit(None).cast(u.schema["v"].dataType).alias("v"))
+        there = i.select("item_id", "v", F.col("ib").alias("ib")).join(c, F.col("ib") == F.col("_i")).select(
+            F.col("_u").alias("ub"), "ib", "item_id", "v")
+        left = people.unionByName(known).groupBy("ub", "ib")
+        return left.cogroup(there.groupBy("ub", "ib")).applyInArrow(_best_of_cell(n), _TOP)
+
+    if first is None:
+        return u.sparkSession.createDataFrame([], _TOP + ", rank int")
+    every = u.select("ub").distinct()
+    found = cut_lineage(meet(every.withColumn("ib", F.lit(first))))
+    nth = found.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") == n).select("user_id", F.col("cf_score").alias("least"))
+    # A user with fewer than n so far may still take anything.
+    need = u.join(nth, "user_id", "left").select("ub", "size", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    others = blocks.where(F.col("ib") != first)
+    open_cells = need.groupBy("ub").agg(F.max(F.when(F.col("least") < 0, float("inf")).when(F.col("size") > 0, F.lit(0.0) - F.col("least") / F.col("size"))
+                                              .otherwise(float("inf"))).alias("_least"))
+    # size * most >= least for some user of the block, that is most >= the smallest of least / size.
+    cells = open_cells.join(others, F.col("most") >= -F.col("_least") - 1e-9).select("ub", "ib")
+    rest = meet(cut_lineage(cells)) if parts[1] > 1 else found.limit(0)
+    return found.unionByName(rest).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
+
+
+def als_recommend(model, users: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:
+    """H8: top-n ALS items per user with seen items removed, by ``top_products`` over the model's factors."""
+    people = model.userFactors.select(F.col("id").cast("long").alias("user_id"), F.col("features").alias("v")).join(
+        users.select(F.col("user_id").cast("long").alias("user_id")).distinct(), "user_id", "left_semi")
+    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").alias("v"))
+    return top_products(people, items, seen, n)
 
 
 def _per_user_max_scale(df: DataFrame, col: str) -> F.Column:
@@ -188,10 +265,6 @@ def undominated(items: DataFrame, velocity: DataFrame, k: int) -> DataFrame:
     return best(F.col("recency").desc(), "article_id").union(best("article_id")).distinct()
 
 
-#: Rows of a side that may be sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has no more than ``rows`` rows; as it is otherwise, for a join that AQE splits."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -116,30 +116,33 @@ def comment_threads(comments: DataFrame, deleted: DataFrame | None = None) -> Da
     """F8: comment forest: root, depth, path and direct reply count per comment;
     deleting a comment drops its whole subtree.
 
-    Resolved level by level (a join per level of depth, bounded by the thread
-    depth), each level checkpointed; replies are counted with one aggregate.
+    By pointer doubling: each comment knows an ancestor and the path up to it, and takes over that ancestor's own
+    pointer and path in every round, so a thread of depth d needs about log2(d) rounds, each a join that is
+    checkpointed. A round that brings no comment to its root is the last: what is left hangs from a cycle.
     comments: comment_id, item_id, parent_id.
     Comments that hang from a missing parent or a cycle are in no thread: see comment_rejects.
     """
     from inkwell.session import cut_lineage
-    c = comments.select("comment_id", "item_id", "parent_id")
-    level = c.where(F.col("parent_id").isNull()).select(
-        "comment_id", "item_id", "parent_id", F.col("comment_id").alias("root_id"), F.lit(0).alias("depth"),
-        F.col("comment_id").cast("string").alias("path"))
-    out = level
-    kids = c.where(F.col("parent_id").isNotNull())
-    d = 0
-    while True:  # a cycle hangs from no root, so levels end
-        d += 1
-        nxt = (kids.join(level.select(F.col("comment_id").alias("parent_id"), "root_id", F.col("path").alias("_pp")),
-                         "parent_id")
-               .select("comment_id", "item_id", "parent_id", "root_id", F.lit(d).alias("depth"),
-                       F.concat("_pp", F.lit("/"), F.col("comment_id").cast("string")).alias("path")))
-        nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
+    own = F.col("comment_id").cast("string")
+    known = comments.select(F.col("comment_id").alias("up"), F.lit(True).alias("_there"))
+    c = comments.select("comment_id", "item_id", "parent_id", F.col("parent_id").alias("up"),
+                        F.when(F.col("parent_id").isNotNull(), 1).otherwise(0).alias("depth"), own.alias("path"))
+    # A parent that is missing is no pointer; its comments are in no thread.
+    c = c.join(known, "up", "left").where(F.col("up").isNull() | F.col("_there")).drop("_there")
+    c = cut_lineage(c.withColumn("root_id", F.when(F.col("up").isNull(), F.col("comment_id"))))
+    waiting = c.where("up IS NOT NULL").count()
+    while waiting:
+        t = c.select(F.col("comment_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("path").alias("_p"),
+                     F.col("root_id").alias("_root"), F.lit(True).alias("_there"))
+        moving = c.where("up IS NOT NULL").join(t, "up", "left").where("_there")  # an ancestor that fell away takes these along
+        moved = moving.select(F.col("comment_id"), "item_id", "parent_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"),
+                              F.concat("_p", F.lit("/"), "path").alias("path"), F.col("_root").alias("root_id"))
+        c = cut_lineage(c.where("up IS NULL").select(*moved.columns).unionByName(moved))
+        left = c.where("up IS NOT NULL").count()
+        if left == waiting:
             break
-        out = out.unionByName(nxt)
-        level = nxt
+        waiting = left
+    out = c.where("up IS NULL").select("comment_id", "item_id", "parent_id", "root_id", "depth", "path")
     if deleted is not None:
         gone = deleted.select(F.col(deleted.columns[0]).alias("_del"))
         # A comment is gone when any id on its path (itself or an ancestor) is deleted.
