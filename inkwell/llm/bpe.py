@@ -14,8 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 import regex
@@ -23,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_batches, text_rows
+from inkwell.llm.common import map_batches, text_rows, worker_memo
 from inkwell.llm.registry import query
-from inkwell.llm.tokens import Chunked, vocabulary
+from inkwell.llm.tokens import Chunked, Memo, vocabulary
 from inkwell.sources.tables import read_table
 
 
-#: Pre-tokens whose ids a worker keeps.
-MEMO = 400_000
+#: Bytes of pre-tokens and their ids that a worker keeps, besides those of whole chunks.
+MEMO = 16 << 20
 
 
 class PerfectHash:
@@ -131,22 +130,27 @@ class TwoTier:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.hash = PerfectHash(list(ranks))
         self.id_of_slot = [ranks[k] for k in self.hash.keys]
-        self.bytes_of = {i: k for k, i in ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.pattern.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = list(set().union(*parts) - self.memo.keys()) if parts else []
+        self.memo.turn()
+        new = list(self.memo.missing(set().union(*parts)))
         raw = [p.encode() for p in new]
         for p, key, slot in zip(new, raw, self.hash.slots(raw)):
             ids = [self.id_of_slot[slot]] if slot >= 0 else merge(key, self.ranks)
-            self.memo[p] = b"".join(i.to_bytes(4, "little") for i in ids)
-        return [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+            self.memo.update([(p, b"".join(i.to_bytes(4, "little") for i in ids))])
+        return [b"".join(map(self.memo.young.__getitem__, p)) for p in parts]
+
+
+class Decoder:
+    """Bytes of the ids of one file of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {i: k for k, i in ranks.items()}
 
-    def decode(self, ids: bytes) -> bytes:
+    def __call__(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
@@ -155,38 +159,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@cache
-def _two_tier(path: str, pattern: str) -> tuple[TwoTier, Chunked]:
-    t = TwoTier(read_ranks(path), pattern)
-    return t, Chunked(t.encode, True)
+@dataclass(frozen=True)
+class Codec:
+    """Names a file of ranks; workers read it, whose size is that of the vocabulary."""
 
+    path: str
+    pattern: str
 
-def bpe_codec(name: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> Callable[[], tuple[TwoTier, Chunked]]:
-    """A function that gives a worker its codec; the vocabulary's file is bounded and read there."""
+    def encoder(self) -> Chunked:
+        return worker_memo((self, "encoder"), lambda: Chunked(TwoTier(read_ranks(self.path), self.pattern).encode, True))
+
+    def decoder(self) -> Decoder:
+        return worker_memo((self, "decoder"), lambda: Decoder(read_ranks(self.path)))
+
+
+def bpe_codec(name: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> Codec:
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
-    path = vocabulary(name)
-    return lambda: _two_tier(path, pattern)
+    return Codec(vocabulary(name), pattern)
 
 
-def encode_documents(docs: DataFrame, codec: Callable | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, codec: Codec | None = None) -> DataFrame:
     """(doc_id, ids) with the ids as little-endian unsigned 32-bit integers."""
     codec = codec or bpe_codec()
-    return map_batches(text_rows(docs), lambda d: {"doc_id": d["doc_id"], "ids": codec()[1](d["text"])},
+    return map_batches(text_rows(docs), lambda d: {"doc_id": d["doc_id"], "ids": codec.encoder()(d["text"])},
                        "doc_id long, ids binary")
 
 
-def decode_documents(encoded: DataFrame, codec: Callable | None = None) -> DataFrame:
+def decode_documents(encoded: DataFrame, codec: Codec | None = None) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for."""
     codec = codec or bpe_codec()
-
-    def decode(d: dict) -> dict:
-        return d | {"decoded": [codec()[0].decode(i) for i in d["ids"]]}
-
-    return map_batches(encoded, decode, "doc_id long, ids binary, decoded binary")
+    return map_batches(encoded, lambda d: d | {"decoded": list(map(codec.decoder(), d["ids"]))},
+                       "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, codec: Callable | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, codec: Codec | None = None) -> DataFrame:
     """Encode, decode, and digest both."""
     back = decode_documents(encode_documents(docs, codec), codec)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

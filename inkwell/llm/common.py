@@ -51,6 +51,18 @@ def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatc
         at = to
 
 
+_held: dict = {}
+
+
+def worker_memo(name, make: Callable):
+    """What this worker process keeps under ``name``, made where it is missing. Spark uses a process again for other
+    operators: one that asks for another name drops what it held."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Apply ``fn`` (dict of Python lists to dict of lists or Arrow arrays) to each Arrow batch of ``df``, a few MB
     at a time."""
@@ -76,7 +88,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict | None]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, done, n = {c: [] for c in cols}, None, [], 0
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             d = b.to_pydict()
             ks = list(zip(*(d[k] for k in keys)))
             i = 0

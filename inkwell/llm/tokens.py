@@ -3,8 +3,9 @@
 The public vocabularies used here split a text at a single space between other characters: the
 byte-level ones keep the space with what follows, the word one drops it. So a text's ids are those of
 its chunks in a row: texts are split by Arrow, each different chunk is looked up once, and the ids are
-gathered by place. A worker keeps the ids of chunks that it has met (``MEMO`` at most; then it starts anew). The byte-level split has one exception: a space before more white space or at the end.
-Texts with such a space are encoded whole.
+gathered by place. A worker keeps the ids of the chunks that it met last, about ``MEMO`` bytes of them. The
+byte-level split has one exception: a space before more white space or at the end. Texts with such a space
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids a worker keeps, and characters that are split at a time.
-MEMO, AT_A_TIME = 1_000_000, 1 << 23
+from inkwell.llm.common import worker_memo
+
+#: Bytes of chunks and their ids that a worker keeps, and characters that are split at a time.
+MEMO, AT_A_TIME = 48 << 20, 1 << 21
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +32,39 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """A dictionary of bounded bytes in two generations: when the young one holds half of ``size``, it becomes the old
+    one and the one before is dropped; what is asked for is young again."""
+
+    #: Bytes of an entry besides its characters: a string, a bytes object and their places.
+    ENTRY = 200
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old, self.used = size, {}, {}, 0
+
+    def missing(self, keys) -> set:
+        """The ``keys`` that are not held; the others are in ``young`` until the next call of ``turn``."""
+        young, old, out = self.young, self.old, set()
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = v = old[k]
+                    self.used += self.ENTRY + len(k) + len(v or b"")
+                else:
+                    out.add(k)
+        return out
+
+    def update(self, pairs) -> None:
+        young = self.young
+        for k, v in pairs:
+            young[k] = v
+            self.used += self.ENTRY + len(k) + len(v or b"")
+
+    def turn(self) -> None:
+        if self.used > self.size // 2:
+            self.young, self.old, self.used = {}, self.young, 0
+
+
 class Chunked:
     """Encodes lists of texts into bytes of little-endian unsigned 32-bit ids.
 
@@ -38,8 +73,8 @@ class Chunked:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], keeps_space: bool):
         self.encode, self.space = encode, " " if keeps_space else ""
-        self.first: dict[str, bytes] = {}  # chunks at the start of a text
-        self.later: dict[str, bytes | None] = {}  # chunks behind a space; None: not safe to take alone
+        self.first = Memo(MEMO // 4)  # chunks at the start of a text
+        self.later = Memo(MEMO)  # chunks behind a space; None: not safe to take alone
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -53,19 +88,19 @@ class Chunked:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > MEMO:
-            self.first, self.later = {}, {}
+        self.first.turn()
+        self.later.turn()
         parts = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
         text_at = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = coded.indices.to_numpy().astype(np.int64)
         first = [chunks[c] for c in code[text_at[:-1]].tolist()]
-        self._learn(self.first, {c for c in first if c not in self.first}, "")
-        self._learn(self.later, {c for c in chunks if c not in self.later}, self.space)
+        self._learn(self.first, self.first.missing(first), "")
+        self._learn(self.later, self.later.missing(chunks), self.space)
         # Entry c holds the ids of chunk c behind a space, the entries after those the first chunk of each text.
         code[text_at[:-1]] = np.arange(len(chunks), len(chunks) + len(texts))
-        entries = [*map(self.later.__getitem__, chunks), *map(self.first.__getitem__, first)]
+        entries = [*map(self.later.young.__getitem__, chunks), *map(self.first.young.__getitem__, first)]
         whole = np.logical_or.reduceat(np.array([e is None for e in entries])[code], text_at[:-1])
         entries = [e or b"" for e in entries]
         ids = np.frombuffer(b"".join(entries), dtype="<u4")
@@ -76,14 +111,14 @@ class Chunked:
         cuts = np.r_[0, ends[text_at[1:] - 1] * 4].tolist()
         return [self.encode([t])[0] if w else raw[a:b] for t, w, a, b in zip(texts, whole.tolist(), cuts, cuts[1:])]
 
-    def _learn(self, memo: dict, new: set[str], space: str) -> None:
+    def _learn(self, memo: Memo, new: set[str], space: str) -> None:
         if space:
             unsafe = {c for c in new if not c or c[0].isspace()}
-            memo.update(dict.fromkeys(unsafe))
+            memo.update((c, None) for c in unsafe)
             new -= unsafe
         # A word with one mark behind it is the word's ids and the mark's.
         marked = {c for c in new if c[-1:] in (".", ",") and c[:-1].isalpha()}
-        plain = list((new - marked) | ({c[:-1] for c in marked} - memo.keys()))
+        plain = list((new - marked) | memo.missing({c[:-1] for c in marked}))
         words = [c for c in plain if c.isalpha()] if space or not self.space else []
         if len(words) > 1:
             memo.update(zip(words, self._words(words)))
@@ -93,7 +128,7 @@ class Chunked:
             memo.update(zip(part, self.encode([space + c for c in part])))
         if marked:
             mark = dict(zip(".,", self.encode([".", ","])))
-            memo.update({c: memo[c[:-1]] + mark[c[-1]] for c in marked})
+            memo.update((c, memo.young[c[:-1]] + mark[c[-1]]) for c in marked)
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words behind a space, many in one text with a full stop behind each. Where a word's ids hold
@@ -122,15 +157,10 @@ def _library(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-@cache
-def _chunked(path: str, keeps_space: bool) -> Chunked:
-    return Chunked(_library(path), keeps_space)
-
-
 def hf_encoder(name: str, keeps_space: bool = True) -> Callable[[], Chunked]:
     """A function that gives the worker's own encoder; only the path travels to the workers."""
     path = vocabulary(name)
-    return lambda: _chunked(path, keeps_space)
+    return lambda: worker_memo((path, keeps_space), lambda: Chunked(_library(path), keeps_space))
 
 
 def end_cut(encoded: list[bytes], end_id: int) -> list[bytes]:
