@@ -21,7 +21,6 @@ read. A very long text makes a larger shard.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_batches, scratch, text_rows
+from inkwell.llm.common import map_batches, scratch, slices, text_rows
 from inkwell.llm.registry import query
 from inkwell.llm.tokens import end_cut, hf_encoder
 from inkwell.sources.tables import read_table
@@ -174,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int, sha
     def shards(batches):
         from pyspark import TaskContext
         part, number, before, ids, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             d = b.to_pydict()
             for i, e in zip(d["doc_id"], end_cut(encoder()(d["text"]), end_id)):
                 ids.append(i)
@@ -239,8 +238,5 @@ def op4_token_files(spark, sf_dir):
     path = scratch(spark, "token-files")
     write_tokens(read_table(spark, sf_dir, "documents"), path, hf_encoder("word_bpe_49k.json", keeps_space=False), 1)
 
-    def digests(d: dict) -> dict:
-        return {"doc_id": d["doc_id"], "start": d["start"], "n_tokens": [len(i) // 4 for i in d["ids"]],
-                "ids_crc32": [zlib.crc32(i) for i in d["ids"]]}
-
-    return map_batches(read_tokens(spark, path), digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                                           F.crc32("ids").alias("ids_crc32"))
