@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import in_key, map_batches, map_groups, text_rows
+from inkwell.llm.common import in_key, map_batches, map_groups, slices, text_rows, worker_memo
 from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
@@ -51,15 +51,13 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def features(text: str, bits: int) -> np.ndarray:
     """Places of all words, stems and (skip) pairs of ``text``, with repeats. ASCII marks split words."""
     words = text.lower().encode().translate(_MARKS).split()
     if not words:
         return np.zeros(0, dtype=np.int32)
-    h, stems = np.array([_hashes[w] for w in words], dtype=np.uint64).T
+    hashes = worker_memo(_Hashes, _Hashes)
+    h, stems = np.array([hashes[w] for w in words], dtype=np.uint64).T
     pairs = [h[:-gap] * _STEPS[gap - 1] + h[gap:] for gap in (1, 2, 3) if len(h) > gap]
     return (np.concatenate([h, stems, *pairs]) * _MIX >> np.uint64(64 - bits)).astype(np.int32)
 
@@ -116,13 +114,23 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mo
     texts = text_rows(docs).where(F.col("doc_id").isNotNull() & (place < int(chance * (1 << 30))))
     rows = texts.join(some, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
+    def prepare(d: dict) -> dict:
+        return {"shard": d["shard"], "toxic": d["toxic"], "places": [features(t, model.bits).tobytes() for t in d["text"]],
+                "turn": [xxhash.xxh64_intdigest(f"{i} {t}") - 2**63 for i, t in zip(d["doc_id"], d["text"])]}
+
     def fit(d: dict) -> dict:
-        order = sorted(range(len(d["text"])), key=lambda i: xxhash.xxh64_intdigest(f"{d['doc_id'][i]} {d['text'][i]}"))
-        w = model.fit(((features(d["text"][i], model.bits), d["toxic"][i]) for i in order), EPOCHS)
+        def take(i: int) -> tuple[np.ndarray, int]:
+            places, d["places"][i] = d["places"][i], None  # a row's places aren't held twice
+            return np.frombuffer(places, dtype=np.int32), d["toxic"][i]
+
+        order = sorted(range(len(d["turn"])), key=d["turn"].__getitem__)
+        w = model.fit(map(take, order), EPOCHS)
         at = np.flatnonzero(w)
         return {"place": at.tolist(), "weight": (w[at]).tolist(), "shard": [d["shard"][0]] * len(at)}
 
-    learned = map_groups(rows, ["shard"], fit, "place int, weight double, shard int")
+    # Texts become features before they are dealt to shards, so no task holds a shard's texts.
+    featured = map_batches(rows, prepare, "shard int, toxic int, turn long, places binary")
+    learned = map_groups(featured, ["shard"], fit, "place int, weight double, shard int")
     return learned.groupBy("place").agg((F.sum("weight") / shards).alias("weight"))
 
 
@@ -160,7 +168,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, model: Ftrl
     scores = scorer(docs.sparkSession, train(docs, labels, model=model), model)
 
     def clean(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             found = scores([t or "" for t in b.column("text").to_pylist()])
             yield b.filter(pa.array([s < cut for s in found], type=pa.bool_()))
 
