@@ -10,8 +10,9 @@ Lao, Khmer, Burmese) counts as a word.
 
 Every run of ``RUN`` consecutive units with at least ``LEAST_WORDS`` words (all have, but one that holds the
 short first or last unit of a text) is hashed (white space and case apart) and met globally. Of runs with one hash the first in order of doc_id
-and place stays; the units that any other one covers are removed. What a repeated passage has before its
-first and after its last common unit stays.
+and place stays; the units that any other one covers are removed where at least ``LEAST_SPAN`` words of
+them lie in a row: passages go, common phrases stay. What a repeated passage has before its first and after its
+last common unit stays, too.
 
 Hashes have 128 bits. Only the first of the equal runs of a batch of documents meets those of other
 batches, so a very frequent run has one row a batch in its task; the others are known to go.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_batches, text_rows
+from inkwell.llm.common import map_batches, text_rows, worker_memo
 from inkwell.llm.registry import query
 from inkwell.sources.tables import read_table
 
 RUN, SHORTEST, LEAST_WORDS = 3, 4, 10
+#: Words that a stretch of covered units has at least if it goes.
+LEAST_SPAN = 32
 LONGEST = 2 * SHORTEST - 1
 
 _END = re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+\s*|\n\s*")
@@ -56,19 +60,16 @@ class _Hashes(dict):
     """Hashes of the words met by this worker, a bounded number of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode())
         return h
 
 
-_hash = _Hashes().__getitem__
-
-
 def cuts(words: list[str], begins: np.ndarray) -> list[int]:
     """The places in ``words`` where units begin; ``begins`` marks the words that begin a sentence."""
     n = len(words)
-    h = np.fromiter(map(_hash, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(worker_memo(_Hashes, _Hashes).__getitem__, words), dtype=np.uint64, count=n)
     key = h * _MIX[0]
     key[:-1] ^= h[1:] * _MIX[1] >> np.uint64(7)
     key = key * _MIX[1] >> np.uint64(1) | (~begins).astype(np.uint64) << np.uint64(63)
@@ -170,8 +171,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     def apply(d: dict) -> dict:
         texts, counts, removed = [], [], []
         for text, places in zip(d["text"], d["places"]):
-            ends, _ = units(text)
-            gone = {p + i for p in places or () for i in range(RUN)}
+            ends, words = units(text)
+            gone = in_passages(places or (), list(map(len, words)))
             if gone:
                 text = "".join(text[a:b] for i, (a, b) in enumerate(zip([0, *ends], ends)) if i not in gone)
             texts.append(text)
@@ -183,6 +184,20 @@ def cleaned(docs: DataFrame) -> DataFrame:
                        "doc_id long, text_key long, text string, n_units int, n_removed int")
 
 
+def in_passages(places: Iterable[int], sizes: list[int]) -> set[int]:
+    """The units covered by the runs that begin at ``places``, but for stretches of fewer than LEAST_SPAN words; ``sizes``
+    are the units' words."""
+    out: set[int] = set()
+    stretch: list[int] = []
+    for u in sorted({p + i for p in places for i in range(RUN)}):
+        if stretch and u != stretch[-1] + 1:
+            out.update(stretch if sum(sizes[v] for v in stretch) >= LEAST_SPAN else ())
+            stretch = []
+        stretch.append(u)
+    out.update(stretch if sum(sizes[v] for v in stretch) >= LEAST_SPAN else ())
+    return out
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns text and n_chars (where there is one) as they are after the removal."""
     new = cleaned(docs).where("n_removed > 0").select(

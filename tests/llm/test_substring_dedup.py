@@ -20,8 +20,16 @@ def brute(rows):
             if sum(map(len, words[k:k + S.RUN])) >= S.LEAST_WORDS and seen.setdefault(tuple(run), (none, i, t, k)) != (none, i, t, k):
                 hit.setdefault((none, i, t), set()).update(range(k, k + S.RUN))
     for key in order:
-        ends, _ = S.units(key[2])
-        gone = hit.get(key, set())
+        ends, words = S.units(key[2])
+        gone, covered = set(), hit.get(key, set())
+        for u in covered:
+            a = b = u
+            while a - 1 in covered:
+                a -= 1
+            while b + 1 in covered:
+                b += 1
+            if sum(map(len, words[a:b + 1])) >= S.LEAST_SPAN:
+                gone.add(u)
         out[key] = "".join(key[2][a:b] for n, (a, b) in enumerate(zip([0, *ends], ends)) if n not in gone) if gone else key[2]
     return sorted([(i, out[(i is None, i or 0, t or "")]) for i, t in rows], key=repr)
 
@@ -100,6 +108,13 @@ def test_no_two_documents_keep_fifty_words(spark):
     assert max(windows([t for _, t in out], 50).values()) == 1
 
 
+def test_common_phrases_stay(spark):
+    rng = random.Random(11)
+    line = sentence(rng, 25)
+    rows = [(i, " ".join([sentence(rng, 9), line, sentence(rng, 9)])) for i in range(30)]
+    assert dict(got(S.cleaned(spark.createDataFrame(rows, SCHEMA)))) == dict(rows)
+
+
 def test_short_sentences_and_scripts_without_spaces(spark):
     rng = random.Random(9)
     threes = " ".join(sentence(rng, 3) for _ in range(20))
