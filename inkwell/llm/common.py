@@ -63,14 +63,14 @@ def worker_memo(name, make: Callable):
     return _held[name]
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` (dict of Python lists to dict of lists or Arrow arrays) to each Arrow batch of ``df``, a few MB
-    at a time."""
+def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str, size: int = 4 << 20) -> DataFrame:
+    """Apply ``fn`` (dict of Python lists to dict of lists or Arrow arrays) to each Arrow batch of ``df``, about ``size``
+    bytes of strings at a time."""
     out = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, size):
                 yield _batch(fn(part.to_pydict()), out)
 
     return df.mapInArrow(run, schema)

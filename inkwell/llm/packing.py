@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[byt
             crcs.append([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:])])
         return {"doc_id": d["doc_id"], "shard": d["shard"], "first": firsts, "crcs": crcs}
 
-    return map_batches(rows, cut, "doc_id long, shard int, first int, crcs array<long>")
+    return map_batches(rows, cut, "doc_id long, shard int, first int, crcs array<long>", size=16 << 20)
 
 
 def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY,
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACI
 
 def pack_byte_bpe(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` with the byte-level tokenizer and end id 2 of the contract."""
-    return pack(docs, hf_encoder("byte_bpe_50k.json" if path is None else path), 2, capacity)
+    return pack(docs, hf_encoder("byte_bpe_50k.json" if path is None else path, memo=128 << 20), 2, capacity)
 
 
 @query("op1_pack")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from inkwell.llm.common import worker_memo
 
 #: Bytes of chunks and their ids that a worker keeps, and characters that are split at a time.
-MEMO, AT_A_TIME = 48 << 20, 1 << 21
+MEMO, AT_A_TIME = 48 << 20, 1 << 23
 
 
 def vocabulary(name: str) -> str:
@@ -71,10 +71,10 @@ class Chunked:
     ``encode`` does so for any texts; ``keeps_space`` says whether a chunk keeps the space before it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keeps_space: bool):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keeps_space: bool, memo: int = MEMO):
         self.encode, self.space = encode, " " if keeps_space else ""
-        self.first = Memo(MEMO // 4)  # chunks at the start of a text
-        self.later = Memo(MEMO)  # chunks behind a space; None: not safe to take alone
+        self.first = Memo(memo // 4)  # chunks at the start of a text
+        self.later = Memo(memo)  # chunks behind a space; None: not safe to take alone
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -157,10 +157,10 @@ def _library(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def hf_encoder(name: str, keeps_space: bool = True) -> Callable[[], Chunked]:
+def hf_encoder(name: str, keeps_space: bool = True, memo: int = MEMO) -> Callable[[], Chunked]:
     """A function that gives the worker's own encoder; only the path travels to the workers."""
     path = vocabulary(name)
-    return lambda: worker_memo((path, keeps_space), lambda: Chunked(_library(path), keeps_space))
+    return lambda: worker_memo((path, keeps_space, memo), lambda: Chunked(_library(path), keeps_space, memo))
 
 
 def end_cut(encoded: list[bytes], end_id: int) -> list[bytes]:
