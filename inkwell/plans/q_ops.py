@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import canonical_url
+from inkwell.functions.time import ts_lit
 from inkwell.operators import interactions as I
 from inkwell.operators import ops as O
+from inkwell.operators import retention as R
 from inkwell.operators import trending as G
 from inkwell.operators.ingest import upsert_articles
 from inkwell.plans import duck_exprs as D
@@ -124,6 +128,55 @@ def k2_purge(spark, sf):
                            ("comments", fx.comments(spark, sf), kc)])
 
 
+# Stories of one language, category and week, a snap for each article: the children that a deletion reaches.
+_STORY_SQL = """st AS (SELECT *, coalesce(language, '') || '|' || category_slug || '|' || CAST(CAST(date_trunc('week', publish_time) AS DATE) AS VARCHAR)
+  AS story_id FROM articles),
+ds AS (SELECT story_id FROM st GROUP BY story_id HAVING min(publish_time) <= {cut}),
+dn AS (SELECT source_name FROM sources WHERE reliability_score <= 0.5),
+da AS (SELECT article_id FROM st WHERE publish_time <= {cut}),
+dsnap AS (SELECT article_id AS snap_id FROM st WHERE story_id IN (FROM ds)),
+dc AS (SELECT comment_id FROM comments WHERE item_id IN (FROM dsnap)
+  UNION SELECT c.comment_id FROM comments c JOIN dc ON c.parent_id = dc.comment_id)"""
+
+
+def _keyed(spark, sf):
+    """The tables of the key graph and the ids that age or retirement deletes."""
+    arts, src = fx.articles(spark, sf), fx.sources(spark, sf)
+    week = F.date_trunc("week", "publish_time").cast("date").cast("string")
+    a = arts.select("article_id", F.col("source_name").alias("source_id"), "publish_time", F.concat(
+        F.coalesce("language", F.lit("")), F.lit("|"), "category_slug", F.lit("|"), week).alias("story_id"))
+    stories = a.groupBy("story_id").agg(F.min("publish_time").alias("created_at"))
+    tables = {
+        "sources": src.select(F.col("source_name").alias("source_id"), "reliability_score"),
+        "stories": stories, "articles": a, "snaps": a.select(F.col("article_id").alias("snap_id"), "story_id"),
+        "interactions": fx.interactions(spark, sf).withColumnRenamed("item_id", "snap_id"),
+        "comments": fx.comments(spark, sf).withColumnRenamed("item_id", "snap_id"),
+    }
+    ids = {"sources": "source_id", "stories": "story_id", "articles": "article_id", "snaps": "snap_id",
+           "interactions": "event_id", "comments": "comment_id"}
+    old = ts_lit(AS_OF, timedelta(days=21))
+    doomed = {"articles": a.where(F.col("publish_time") <= old).select("article_id"),
+              "stories": stories.where(F.col("created_at") <= old).select("story_id"),
+              "sources": src.where(F.col("reliability_score") <= 0.5).select("source_name")}
+    return tables, ids, doomed
+
+
+@query("k2_cascade", with_views("WITH RECURSIVE " + _STORY_SQL.format(cut=f"{TS} - INTERVAL 21 DAY") + """,
+n(table_name, before, kept, nulled) AS (
+  SELECT 'sources', count(*), count(*) FILTER (WHERE source_name NOT IN (FROM dn)), 0 FROM sources
+  UNION ALL SELECT 'stories', count(DISTINCT story_id), count(DISTINCT story_id) FILTER (WHERE story_id NOT IN (FROM ds)), 0 FROM st
+  UNION ALL SELECT 'articles', count(*), count(*) FILTER (WHERE article_id NOT IN (FROM da)),
+    count(*) FILTER (WHERE article_id NOT IN (FROM da) AND source_name IN (FROM dn))
+    + count(*) FILTER (WHERE article_id NOT IN (FROM da) AND story_id IN (FROM ds)) FROM st
+  UNION ALL SELECT 'snaps', count(*), count(*) FILTER (WHERE story_id NOT IN (FROM ds)), 0 FROM st
+  UNION ALL SELECT 'interactions', count(*), count(*) FILTER (WHERE item_id IS NULL OR item_id NOT IN (FROM dsnap)), 0 FROM interactions
+  UNION ALL SELECT 'comments', count(*), count(*) FILTER (WHERE comment_id NOT IN (FROM dc)), 0 FROM comments)
+SELECT table_name, before, kept, before - kept AS purged, CAST(nulled AS BIGINT) AS nulled FROM n
+""", "articles", "sources", "interactions", "comments"))
+def k2_cascade(spark, sf):
+    return R.cascade_report(R.cascade(*_keyed(spark, sf)))
+
+
 @query("k3_preserve_aggregates", with_views(f"""WITH {_DOOMED}
 SELECT e.user_id, a.category_slug, round(sum(CAST({_WEIGHT_SQL} AS DOUBLE)), 6) AS weight, count(*) AS signals
 FROM ievents e JOIN articles a ON a.article_id = e.item_id WHERE e.item_id IN (SELECT article_id FROM doomed)
