@@ -12,7 +12,9 @@ from inkwell.plans import duck_exprs as D
 from inkwell.plans.catalog import query, r6
 from inkwell.plans.oracle_views import with_views
 from inkwell.sources import fixtures as fx
+from inkwell.sources import sinks
 from inkwell.sources.tables import read_table
+from inkwell.streaming.jobs import work_dir
 
 AS_OF = fx.AS_OF
 TS = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -140,6 +142,26 @@ def a12_upsert_articles(spark, sf):
         "canonical_url", "page_id", "url", "html_chars", "batch")
 
 
+@query("a12_article_sink", f"""
+WITH p AS (SELECT page_id, {D.canonical_url('url')} AS canonical_url, length(html) AS html_chars,
+  TIMESTAMP '{fx.AS_OF}' - to_minutes(CAST((page_id * 7919) % 43200 AS INT)) AS publish_time FROM pages),
+u AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS rn FROM p WHERE canonical_url IS NOT NULL)
+SELECT canonical_url, page_id, html_chars, CAST(publish_time AS DATE) AS publish_date,
+  publish_time <= TIMESTAMP '{fx.AS_OF}' - INTERVAL 14 DAY AS archived FROM u WHERE rn = 1
+""")
+def a12_article_sink(spark, sf):
+    """Three batches upserted into a table partitioned by date, the newest pages not in the last one; then K1 on it."""
+    when = F.expr(f"timestampadd(MINUTE, CAST(-((page_id * 7919) % 43200) AS INT), TIMESTAMP_NTZ'{fx.AS_OF}')")
+    pages = read_table(spark, sf, "pages").select(
+        canonical_url("url").alias("canonical_url"), "page_id", F.length("html").alias("html_chars"),
+        when.alias("publish_time"), when.cast("date").alias("publish_date"), F.lit(False).alias("archived"))
+    path = work_dir(spark, "articles")
+    for batch in (1, 2, 0):
+        sinks.upsert(pages.where(F.col("page_id") % 3 == batch), path, "canonical_url", ["page_id"], "publish_date")
+    sinks.archive_partitions(spark, path, pages.schema, fx.AS_OF, 14)
+    return sinks.read_keyed(spark, path, pages.schema, "canonical_url").drop("publish_time")
+
+
 @query("a13_crawl_plan", f"""
 WITH u AS (SELECT DISTINCT {D.host('url')} AS source_name, url, {D.host('url')} AS host FROM pages),
 s AS (SELECT DISTINCT source_name, 2.0 AS rate_limit_seconds,
