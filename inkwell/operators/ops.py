@@ -136,6 +136,29 @@ def scrape_dashboard(log: DataFrame) -> DataFrame:
         "error_rate", F.col("errors") / F.col("scrapes"))
 
 
+def ingest_dashboard(articles: DataFrame, log: DataFrame) -> DataFrame:
+    """K9: per source and hour the articles, the duplicates among them, scrapes, errors and the error rate.
+
+    An article is a duplicate if one published before it, or then with a smaller id, has the same content; null and
+    empty content has none. Only the first article of each content is counted out, by aggregates, so a content that a
+    third of the articles share is combined before the shuffle. Hours with articles or scrapes alone are there too.
+    """
+    at = ["source_name", "hour"]
+    a = articles.select("source_name", F.date_trunc("hour", "publish_time").alias("hour"), "publish_time", "article_id",
+                        F.when(F.length("content") > 0, F.sha2("content", 256)).alias("digest"))
+    first = (a.where("digest IS NOT NULL").groupBy("digest")
+             .agg(F.min_by(F.struct(*at), F.struct("publish_time", "article_id")).alias("f"))
+             .select("f.*", F.lit(0).alias("articles"), F.lit(0).alias("filled"), F.lit(1).alias("firsts")))
+    every = a.select(*at, F.lit(1).alias("articles"), F.col("digest").isNotNull().cast("int").alias("filled"), F.lit(0).alias("firsts"))
+    found = every.unionByName(first).select("*", F.lit(0).alias("scrapes"), F.lit(0).alias("errors"))
+    runs = log.select("source_name", F.date_trunc("hour", "ts").alias("hour"), F.lit(0).alias("articles"), F.lit(0).alias("filled"),
+                      F.lit(0).alias("firsts"), F.lit(1).alias("scrapes"), F.coalesce(F.col("status") == "error", F.lit(False)).cast("int").alias("errors"))
+    out = found.unionByName(runs).groupBy(*at).agg(
+        F.sum("articles").alias("articles"), F.sum(F.col("filled") - F.col("firsts")).alias("duplicates"),
+        F.sum("scrapes").alias("scrapes"), F.sum("errors").alias("errors"))
+    return out.withColumn("error_rate", F.when(F.col("scrapes") > 0, F.col("errors") / F.col("scrapes")))
+
+
 def integrity_report(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     """One row per constraint with its violation count. Each check is a
     DataFrame of violating rows (built with left_anti or group-by-having)."""

@@ -263,6 +263,22 @@ def k9_scrape_dashboard(spark, sf):
     return O.scrape_dashboard(fx.scrape_log(spark, sf)).withColumn("error_rate", r6("error_rate"))
 
 
+@query("k9_ingest_dashboard", with_views("""
+WITH f AS (SELECT *, date_trunc('hour', publish_time) AS hour, content IS NOT NULL AND content <> ''
+  AND row_number() OVER (PARTITION BY content ORDER BY publish_time, article_id) > 1 AS again FROM articles),
+c AS (SELECT source_name, hour, count(*) AS articles, count(*) FILTER (WHERE again) AS duplicates FROM f GROUP BY ALL),
+l AS (SELECT source_name, date_trunc('hour', ts) AS hour, count(*) AS scrapes, count(*) FILTER (WHERE status = 'error') AS errors
+  FROM scrape_log GROUP BY ALL),
+k AS (SELECT source_name, hour FROM c UNION SELECT source_name, hour FROM l)
+SELECT k.source_name, k.hour, CAST(coalesce(articles, 0) AS BIGINT) AS articles, CAST(coalesce(duplicates, 0) AS BIGINT) AS duplicates,
+  CAST(coalesce(scrapes, 0) AS BIGINT) AS scrapes, CAST(coalesce(errors, 0) AS BIGINT) AS errors, round(errors / scrapes, 6) AS error_rate
+FROM k LEFT JOIN c ON c.source_name IS NOT DISTINCT FROM k.source_name AND c.hour IS NOT DISTINCT FROM k.hour
+LEFT JOIN l ON l.source_name IS NOT DISTINCT FROM k.source_name AND l.hour IS NOT DISTINCT FROM k.hour
+""", "articles", "scrape_log"))
+def k9_ingest_dashboard(spark, sf):
+    return O.ingest_dashboard(fx.articles(spark, sf), fx.scrape_log(spark, sf)).withColumn("error_rate", r6("error_rate"))
+
+
 @query("k10_recent_articles", with_views("""
 SELECT article_id, title, publish_time FROM articles ORDER BY publish_time DESC, article_id DESC LIMIT 50
 """, "articles"))

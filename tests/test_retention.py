@@ -1,5 +1,6 @@
 """Deletion along keys: cascades, references set to null, chains and cycles; no violation is left."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -101,3 +102,19 @@ def test_keys_round_several_tables_are_refused():
     with pytest.raises(CycleError):
         R.parents_first(["a", "b"], keys)
     assert R.parents_first(["comments", "snaps", "stories"], R.KEYS) == ["stories", "snaps", "comments"]
+
+
+def test_dashboard_counts_duplicates_and_hours(spark):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    articles = spark.createDataFrame(
+        [(1, "s", at(1), "x"), (2, "s", at(1, 5), "x"), (3, "t", at(1, 5), "x"), (4, "t", at(2), "y"), (0, "s", at(2), "y"),
+         (5, "s", at(3), ""), (6, "s", at(3), ""), (7, "s", at(3), None), (8, None, None, "z")],
+        "article_id long, source_name string, publish_time timestamp_ntz, content string")
+    log = spark.createDataFrame([("s", at(1), "error"), ("s", at(1, 9), "success"), ("u", at(4), None)],
+                                "source_name string, ts timestamp_ntz, status string")
+    got = {(r.source_name, r.hour and r.hour.hour): (r.articles, r.duplicates, r.scrapes, r.errors, r.error_rate)
+           for r in O.ingest_dashboard(articles, log).collect()}
+    assert got == {("s", 1): (2, 1, 2, 1, 0.5), ("t", 1): (1, 1, 0, 0, None), ("t", 2): (1, 1, 0, 0, None),
+                   ("s", 2): (1, 0, 0, 0, None), ("s", 3): (3, 0, 0, 0, None), (None, None): (1, 0, 0, 0, None),
+                   ("u", 4): (0, 0, 1, 0, 0.0)}
+    assert O.ingest_dashboard(articles.limit(0), log.limit(0)).count() == 0
