@@ -114,3 +114,31 @@ def test_undominated_items_hold_every_top(spark):
         for category in "ab":
             best = sorted((-(content + weight * v.get(i, 0)) * rec, i) for i, c, rec in items if c == category)[:5]
             assert {i for _, i in best} <= kept
+
+
+def test_tiles_ship_and_link_less_than_pairs(spark):
+    """Whatever tiles are, pairs are those of brute force; a cell's links are fewer than its rows, not its pairs."""
+    rng = np.random.default_rng(7)
+    rows = rows_of(rng, 200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(S.near_dup_pairs(df, None, 0.3, 48, rows_per_block=8, blocks_per_tile=2)) == brute(rows, rows, 0.3, 48, True)
+    want = brute(rows, rows, -0.5, 48, True)
+    assert S.near_dup_links(df, -0.5, 48).count() < 3 * len(rows) < len(want)
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 30), (50, 400), (1000, 700)):
+        x, y = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        a, b = S._forest(x, y)
+        parent = {int(v): int(v) for v in (*x, *y)}
+
+        def find(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for i, j in zip(map(int, x), map(int, y)):
+            lo, hi = sorted((find(i), find(j)))
+            parent[hi] = lo
+        assert {(int(i), int(j)) for i, j in zip(a, b)} == {(find(v), v) for v in parent if find(v) != v}
