@@ -1,4 +1,4 @@
-"""Structured Streaming jobs with state of their own (L5, L6): ``transformWithStateInPandas``.
+"""Structured Streaming jobs with state of their own (L5, L6): ``transformWithState`` and ``transformWithStateInPandas``.
 
 State lies in RocksDB under the query's checkpoint, keyed as the data is grouped, so it moves with its
 partition when an executor is lost. Rows come to a processor in Arrow batches per key; no job holds a key's rows
@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,45 +32,45 @@ def keyed_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def _order(event: tuple) -> tuple:
+    """The order of events (microseconds, event_id, ...); nulls come first."""
+    return event[0] is not None, event[0], event[1] is not None, event[1]
+
+
 class LiveState(StatefulProcessor):
     """Key (user_id, item_id). ``toggles`` maps like and bookmark to their last action, ``version`` counts the
     key's changes; each batch gives one row of differences, so a sum over an item's rows is its live count."""
 
     OUT = ("user_id long, item_id long, version long, reads long, comments long, shares long, likes long, bookmarks long, "
-           "like_active boolean, like_ts timestamp, bookmark_active boolean, bookmark_ts timestamp")
+           "like_active boolean, like_us long, bookmark_active boolean, bookmark_us long")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version = handle.getValueState("version", "n long")
-        self.toggles = handle.getMapState("toggles", "kind string", "active boolean, ts timestamp, event_id long")
+        # One value: each call to the state store is a round trip a key.
+        one = "{0}_active boolean, {0}_us long, {0}_event long"
+        self.state = handle.getValueState("state", ", ".join(["version long", *map(one.format, ("like", "bookmark"))]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         counts, last = dict.fromkeys(COUNTED, 0), {}
-        for part in rows:
-            for kind, n in part["interaction_type"].value_counts().items():
-                if kind in counts:
-                    counts[kind] += int(n)
-            for action, ts, event_id in zip(part["action"], part["ts"], part["event_id"]):
-                if action in TOGGLES:
-                    kind, active = TOGGLES[action]
-                    last[kind] = max(last.get(kind, (ts, event_id, active)), (ts, event_id, active))
-        out, seen = {}, {}
-        for kind in ("like", "bookmark"):
-            stored = self.toggles.getValue((kind,)) if self.toggles.containsKey((kind,)) else None
-            old = (stored[1], stored[2], stored[0]) if stored is not None else None
+        for row in rows:
+            if row.interaction_type in counts:
+                counts[row.interaction_type] += 1
+            if row.action in TOGGLES:
+                kind, active = TOGGLES[row.action]
+                event = row.us, row.event_id, active
+                last[kind] = max(last.get(kind, event), event, key=_order)
+        stored = self.state.get() or (0, None, None, None, None, None, None)
+        change, now = {}, {}
+        for kind, (active, us, event_id) in (("like", stored[1:4]), ("bookmark", stored[4:7])):
             new = last.get(kind)
-            if new is not None and (old is None or (pd.Timestamp(new[0]), new[1]) > (pd.Timestamp(old[0]), old[1])):
-                self.toggles.updateValue((kind,), (bool(new[2]), pd.Timestamp(new[0]).to_pydatetime(), int(new[1])))
-            else:
-                new = old
-            out[kind] = int(bool(new and new[2])) - int(bool(old and old[2]))
-            seen[kind] = (bool(new[2]), pd.Timestamp(new[0])) if new else (None, pd.NaT)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        yield pd.DataFrame({
-            "user_id": [key[0]], "item_id": [key[1]], "version": [version], "reads": [counts["read"]],
-            "comments": [counts["comment"]], "shares": [counts["share"]], "likes": [out["like"]], "bookmarks": [out["bookmark"]],
-            "like_active": [seen["like"][0]], "like_ts": [seen["like"][1]],
-            "bookmark_active": [seen["bookmark"][0]], "bookmark_ts": [seen["bookmark"][1]]})
+            if new is None or (active is not None and _order(new) <= _order((us, event_id))):
+                new = us, event_id, active
+            change[kind] = int(bool(new[2])) - int(bool(active))
+            now[kind] = new[2], new[0], new[1]
+        version = stored[0] + 1
+        self.state.update((version, *now["like"], *now["bookmark"]))
+        yield Row(user_id=key[0], item_id=key[1], version=version, reads=counts["read"], comments=counts["comment"],
+                  shares=counts["share"], likes=change["like"], bookmarks=change["bookmark"], like_active=now["like"][0],
+                  like_us=now["like"][1], bookmark_active=now["bookmark"][0], bookmark_us=now["bookmark"][1])
 
     def close(self) -> None:
         pass
@@ -84,8 +84,12 @@ def stream_state(events: DataFrame, delay: str = "1 day") -> DataFrame:
     Toggles go by (ts, event_id), whatever order events come in.
     """
     once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("user_id", "item_id").transformWithStateInPandas(
+    # Times are microseconds in Python, which has more than one notion of a timestamp.
+    changes = once.withColumn("us", F.unix_micros("ts")).groupBy("user_id", "item_id").transformWithState(
         statefulProcessor=LiveState(), outputStructType=LiveState.OUT, outputMode="Append", timeMode="None")
+    for kind in ("like", "bookmark"):
+        changes = changes.withColumn(f"{kind}_us", F.timestamp_micros(f"{kind}_us")).withColumnRenamed(f"{kind}_us", f"{kind}_ts")
+    return changes
 
 
 def live_counts(changes: DataFrame) -> DataFrame:

@@ -79,6 +79,16 @@ def test_live_state_survives_repeats_and_disorder(spark, tmp_path):
     same(K.live_toggles(changes), I.toggle_state(frame), ["user_id", "item_id", "kind", "active", "last_ts"])
 
 
+def test_live_state_is_one_value_a_key(spark, tmp_path):
+    """A key costs one read and one write of state a batch; a repeat in a later batch still meets its stored toggle."""
+    rows = [(1, at(0), 1, 1, "like", "like"), (2, at(5), 1, 1, "like", "unlike"), (3, at(1), 1, 1, "bookmark", "bookmark"), (4, at(2), 2, 1, "read", "read")]
+    changes, ckpt = drain(spark, tmp_path, EVENT, [rows[1:], rows[:1] + rows[2:3]], K.stream_state, "v")
+    got = {(r.user_id, r.kind): (r.active, r.last_ts) for r in K.live_toggles(changes).collect()}
+    assert got == {(1, "like"): (False, at(5)), (1, "bookmark"): (True, at(1))}
+    left = K.keyed_session(spark).read.format("statestore").option("stateVarName", "state").load(ckpt)
+    assert left.count() == 2
+
+
 def test_comment_limit_clears_its_state(spark, tmp_path):
     rows = [(i, at(i * 20), i % 2, i, "comment", "comment") for i in range(200)] + [(1000, at(30), 0, 0, "read", "read")]
     batches = [rows[:90], rows[90:], [(2000, at(10), 0, 7, "comment", "comment")], [(3000, at(60 * 24 * 9), 5, 7, "read", "read")],
