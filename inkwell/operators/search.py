@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import tokens
 from inkwell.functions.time import time_ago
+from inkwell.session import cut_lineage, sized_broadcast
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -109,11 +110,15 @@ def search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 1
     """BM25 top-k per query. queries: query_id, query (text).
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once.
-    Collection size and average length are scalar subqueries.
+    Collection size and average length are scalar subqueries. Lengths and the postings of query terms are written once, as
+    counts and scores read them again; where the query terms are few they reach the tokens before these are counted.
     """
+    stats = cut_lineage(stats.select("doc_id", "doc_len"))
     n_docs = stats.agg(F.count("*")).scalar()
     avgdl = stats.agg(F.avg("doc_len")).scalar()
     qt = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    asked = sized_broadcast(qt.select("term").distinct())
+    postings = cut_lineage(postings.select("term", "doc_id", "tf").join(asked, "term", "left_semi"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     qterms = qt.join(df, "term")
     j = qterms.join(postings.select("term", "doc_id", "tf"), "term").join(stats.select("doc_id", "doc_len"), "doc_id")
