@@ -1,16 +1,16 @@
-"""Structured Streaming jobs with state of their own (L5, L6): ``transformWithState`` and ``transformWithStateInPandas``.
+"""Structured Streaming jobs with state of their own (L5, L6): ``transformWithState``.
 
 State lies in RocksDB under the query's checkpoint, keyed as the data is grouped, so it moves with its
-partition when an executor is lost. Rows come to a processor in Arrow batches per key; no job holds a key's rows
-longer than it takes to read them.
+partition when an executor is lost. Rows come to a processor one by one, in Arrow batches of many keys; no job holds a
+key's rows longer than it takes to read them.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -110,7 +110,7 @@ def live_toggles(changes: DataFrame) -> DataFrame:
 class CommentLimiter(StatefulProcessor):
     """Key (user_id, day). ``count`` is what the day has let through; a timer at the day's end clears it."""
 
-    OUT = "user_id long, day date, event_id long, item_id long, ts timestamp, day_rank int"
+    OUT = "user_id long, day date, event_id long, item_id long, us long, day_rank int"
 
     def __init__(self, n: int):
         self.n = n
@@ -119,25 +119,21 @@ class CommentLimiter(StatefulProcessor):
         self.handle = handle
         self.count = handle.getValueState("count", "n int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.count.exists()
-        count = self.count.get()[0] if known else 0
-        first: list = []
-        for part in rows:
-            # No more than the day still lets through is held.
-            these = zip(part["ts"], part["event_id"], part["item_id"])
-            first = heapq.nsmallest(self.n - count, [*first, *these], key=lambda r: r[:2])
-        if not known:
-            end = pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Each call to the state store is a round trip a key.
+        stored = self.count.get()
+        count = stored[0] if stored else 0
+        # No more than the day still lets through is held.
+        first = heapq.nsmallest(self.n - count, ((r.us, r.event_id, r.item_id) for r in rows), key=_order)
+        if stored is None:
+            end = datetime.combine(key[1], time.min, timezone.utc) + timedelta(days=1)
             self.handle.registerTimer(int(end.timestamp() * 1000))
-        self.count.update((count + len(first),))
-        if first:
-            yield pd.DataFrame({
-                "user_id": [key[0]] * len(first), "day": [key[1]] * len(first), "event_id": [r[1] for r in first],
-                "item_id": [r[2] for r in first], "ts": [r[0] for r in first],
-                "day_rank": range(count + 1, count + len(first) + 1)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if first or stored is None:
+            self.count.update((count + len(first),))
+        for i, (us, event_id, item_id) in enumerate(first, count + 1):
+            yield Row(user_id=key[0], day=key[1], event_id=event_id, item_id=item_id, us=us, day_rank=i)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.count.clear()
         return iter(())
 
@@ -152,5 +148,6 @@ def stream_limit_comments(events: DataFrame, n: int = 100, delay: str = "1 hour"
     comes later still is dropped as late: it can't start the day anew.
     """
     c = events.where(F.col("interaction_type") == "comment").withWatermark("ts", delay)
-    return c.withColumn("day", F.to_date("ts")).groupBy("user_id", "day").transformWithStateInPandas(
+    some = c.withColumn("day", F.to_date("ts")).withColumn("us", F.unix_micros("ts")).groupBy("user_id", "day").transformWithState(
         statefulProcessor=CommentLimiter(n), outputStructType=CommentLimiter.OUT, outputMode="Append", timeMode="EventTime")
+    return some.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "ts")
