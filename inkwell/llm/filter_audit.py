@@ -62,8 +62,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
     each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice")
     dealt = rows.join(hot, "hash", "left").withColumn(
         "slice", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
-    # Texts are shuffled once, here; only those whose hash occurs again go on.
-    left = dealt.join(counts.select("hash", each), ["hash", "slice"], "left_semi")
+    # Texts are shuffled once, here, at any size; only those whose hash occurs again go on. Hashes grow with the rows: a
+    # broadcast of them would hold for small tables alone.
+    left = dealt.join(counts.select("hash", each).hint("merge"), ["hash", "slice"], "left_semi")
     first = left.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))
     right = first.join(hot, "hash", "left").select("hash", "text", "first", each)
     dealt_alike = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("hash", "slice")]
