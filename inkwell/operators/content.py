@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import tokens, word_count
+from inkwell.functions.text import dealt_by_id, tokens, word_count
 from inkwell.operators.langs import SCRIPT_RANGES
 from inkwell.operators.quality import CLICKBAIT_PATTERN
 
@@ -37,13 +37,15 @@ def extractive_summary(df: DataFrame, id_col: str = "article_id", text: str = "b
     is bounded. Every row of ``df`` gives a row: without a summary it is null, with
     ``reason`` no_text or long_sentences.
     """
-    s = (df.select(F.col(id_col).alias("_id"),
-                   F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_SPLIT)).alias("pos", "sentence"))
+    s = (dealt_by_id(df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_id", "_text")
+         .select("_id", F.posexplode(F.split("_text", SENTENCE_SPLIT)).alias("pos", "sentence"))
          .withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != ""))
-    toks = s.select("_id", "pos", F.explode(tokens("sentence")).alias("term"))
-    tf = toks.groupBy("_id", "term").agg(F.count("*").alias("tf"))
-    sc = (toks.join(tf, ["_id", "term"]).groupBy("_id", "pos").agg(F.avg("tf").alias("_mtf")))
-    s = (s.join(sc, ["_id", "pos"], "left")
+    # A sentence goes with the first of its words, or alone. All windows are on parts of an id's rows, which lie together.
+    toks = s.select("_id", "pos", "sentence", F.posexplode_outer(tokens("sentence")).alias("_at", "term"))
+    toks = toks.select("_id", "pos", "term", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("sentence")).alias("sentence"))
+    tf = F.when(F.col("term").isNotNull(), F.count("*").over(Window.partitionBy("_id", "term")))
+    mtf = F.avg("_tf").over(Window.partitionBy("_id", "pos"))
+    s = (toks.select("_id", "pos", "sentence", tf.alias("_tf")).withColumn("_mtf", mtf).where(F.col("sentence").isNotNull())
          .withColumn("score", F.coalesce("_mtf", F.lit(0.0)) + F.lit(1.0) / (F.col("pos") + 1))
          .withColumn("words", word_count("sentence")))
     w = (Window.partitionBy("_id").orderBy(F.col("score").desc(), F.col("pos"))
