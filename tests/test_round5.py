@@ -66,3 +66,11 @@ def test_members_are_written_once(spark, tmp_path):
     m = q_stories._members(spark, str(tmp_path))
     assert sorted(r.article_id for r in m.collect()) == list(range(12))
     assert "Join" not in plan_of(m)
+
+
+def test_words_of_a_page_are_taken_once(spark):
+    pages = spark.createDataFrame([(1, "s", "https://x.de/a", "cricket ai ai"), (2, "s", None, None)], "page_id long, source_key string, url string, content string")
+    rules = spark.createDataFrame([("s", "/b", "health")], "source_key string, prefix string, category_slug string")
+    out = C.assign_category(pages, rules, spark.createDataFrame([("s", "jobs")], "source_key string, category_slug string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+    assert sorted((r.page_id, r.category_slug, r.category_by) for r in out.collect()) == [(1, "sports", "keyword"), (2, "jobs", "default")]
