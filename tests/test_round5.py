@@ -68,6 +68,52 @@ def test_members_are_written_once(spark, tmp_path):
     assert "Join" not in plan_of(m)
 
 
+def feed_inputs(spark):
+    rng = np.random.default_rng(4)
+    items = [(i, "ab"[i % 2], round(float(rng.uniform(0.1, 1)), 3)) for i in range(60)]
+    speed = [(i, float(rng.integers(1, 4))) for i in range(0, 60, 7)]
+    cf = [(u, int(i), float(rng.integers(-1, 9))) for u in (1, 2) for i in rng.choice(60, 6, replace=False)]
+    profile = [(1, "a", 2.0), (1, "b", 1.0), (2, "a", 1.0)]
+    config = [(1, 0.4, 0.35, 0.25), (2, 0.0, 0.3, 0.4), (3, 0.4, 0.35, 0.25)]
+    frames = (spark.createDataFrame([(1,), (2,), (3,), (None,)], "user_id long"),
+              spark.createDataFrame(profile, "user_id long, category_slug string, affinity double"),
+              spark.createDataFrame(items, "article_id long, category_slug string, recency double"),
+              spark.createDataFrame(speed, "item_id long, velocity double"),
+              spark.createDataFrame(cf, "user_id long, item_id long, cf_score double"),
+              spark.createDataFrame(config, "user_id long, w_content double, w_collaborative double, w_trending double"))
+    return (items, dict(speed), cf, profile, config), frames
+
+
+def test_feed_scores_hold_every_best(spark):
+    (items, speed, cf, profile, config), (users, prof, it, vel, scores, conf) = feed_inputs(spark)
+    k = 4
+    got = {}
+    for r in H.feed_scores(users, prof, it, vel, scores, ["a", "b", "none"], k, conf).collect():
+        assert (r.user_id, r.article_id) not in got
+        got[r.user_id, r.article_id] = (r.category_slug, r.score)
+    most = {u: max(s for v, _, s in cf if v == u) for u in (1, 2)}
+    liked = {(u, i): max(s, 0) / most[u] for u, i, s in cf}
+    for u, wc, wcf, wt in config:
+        own = {c: a for v, c, a in profile if v == u}
+        top = max(own.values(), default=1)
+        for category in "ab":
+            want = sorted((-round((wc * own.get(category, 0) / top + wcf * liked.get((u, i), 0) + wt * speed.get(i, 0) / max(speed.values())) * rec, 9), i)
+                          for i, c, rec in items if c == category)[:k]
+            best = sorted((-s, i) for (v, i), (c, s) in got.items() if v == u and c == category)[:k]
+            assert [i for _, i in best] == [i for _, i in want]
+            assert [s for s, _ in best] == pytest.approx([s for s, _ in want])
+
+
+def test_pairs_of_a_feed_are_not_shuffled(spark):
+    _, (users, prof, it, vel, scores, conf) = feed_inputs(spark)
+    feed = H.diverse_feed(H.feed_scores(users, prof, it, vel, scores, ["a", "b"], 4, conf), prof.select("user_id", "category_slug"), 4)
+    lines = plan_of(feed).splitlines()
+    made = next(i for i, x in enumerate(lines) if "Generate explode(concat" in x)
+    depth = [len(re.match(r"[\s:|+*-]*", x)[0]) for x in lines]
+    above = [x for i, x in enumerate(lines[:made]) if depth[i] < min(depth[i + 1:made + 1], default=99)]
+    assert above and not any("Exchange" in x for x in above)
+
+
 def test_words_of_a_page_are_taken_once(spark):
     pages = spark.createDataFrame([(1, "s", "https://x.de/a", "cricket ai ai"), (2, "s", None, None)], "page_id long, source_key string, url string, content string")
     rules = spark.createDataFrame([("s", "/b", "health")], "source_key string, prefix string, category_slug string")
