@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from datetime import datetime, time, timedelta, timezone
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -37,40 +38,58 @@ def _order(event: tuple) -> tuple:
     return event[0] is not None, event[0], event[1] is not None, event[1]
 
 
+#: Keys share the state's calls by a hash: a call takes as long as some hundred rows do. The number is part of a checkpoint.
+SLOTS = 1 << 13
+
+
 class LiveState(StatefulProcessor):
-    """Key (user_id, item_id). ``toggles`` maps like and bookmark to their last action, ``version`` counts the
-    key's changes; each batch gives one row of differences, so a sum over an item's rows is its live count."""
+    """Key ``slot``, a hash of (user_id, item_id), the pairs of which are its members. State holds a row a pair, column by column: how
+    often it changed (``version``) and the last action of like and bookmark. Each batch gives one row of differences a pair
+    that it touches, so a sum over an item's rows is its live count. A slot's state is read and written once a batch."""
 
     OUT = ("user_id long, item_id long, version long, reads long, comments long, shares long, likes long, bookmarks long, "
            "like_active boolean, like_us long, bookmark_active boolean, bookmark_us long")
+    IN = ("user_id", "item_id", "event_id", "us", "interaction_type", "action")
+    _ROW = Row(*(c.split()[0] for c in OUT.split(", ")))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # One value: each call to the state store is a round trip a key.
-        one = "{0}_active boolean, {0}_us long, {0}_event long"
-        self.state = handle.getValueState("state", ", ".join(["version long", *map(one.format, ("like", "bookmark"))]))
+        one = "{0}_active array<boolean>, {0}_us array<long>, {0}_event array<long>"
+        columns = ["user_id array<long>", "item_id array<long>", "version array<long>", *map(one.format, ("like", "bookmark"))]
+        self.state = handle.getValueState("state", ", ".join(columns))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        counts, last = dict.fromkeys(COUNTED, 0), {}
+        counts, last, take = {}, {}, None
         for row in rows:
-            if row.interaction_type in counts:
-                counts[row.interaction_type] += 1
-            if row.action in TOGGLES:
-                kind, active = TOGGLES[row.action]
-                event = row.us, row.event_id, active
-                last[kind] = max(last.get(kind, event), event, key=_order)
-        stored = self.state.get() or (0, None, None, None, None, None, None)
-        change, now = {}, {}
-        for kind, (active, us, event_id) in (("like", stored[1:4]), ("bookmark", stored[4:7])):
-            new = last.get(kind)
-            if new is None or (active is not None and _order(new) <= _order((us, event_id))):
-                new = us, event_id, active
-            change[kind] = int(bool(new[2])) - int(bool(active))
-            now[kind] = new[2], new[0], new[1]
-        version = stored[0] + 1
-        self.state.update((version, *now["like"], *now["bookmark"]))
-        yield Row(user_id=key[0], item_id=key[1], version=version, reads=counts["read"], comments=counts["comment"],
-                  shares=counts["share"], likes=change["like"], bookmarks=change["bookmark"], like_active=now["like"][0],
-                  like_us=now["like"][1], bookmark_active=now["bookmark"][0], bookmark_us=now["bookmark"][1])
+            take = take or itemgetter(*map(row.__fields__.index, self.IN))
+            user, item, event_id, us, what, action = take(row)
+            pair = user, item
+            mine = counts.get(pair)
+            if mine is None:
+                mine = counts[pair] = dict.fromkeys(COUNTED, 0)
+            if what in mine:
+                mine[what] += 1
+            if action in TOGGLES:
+                kind, active = TOGGLES[action]
+                event = us, event_id, active
+                last[pair, kind] = max(last.get((pair, kind), event), event, key=_order)
+        stored = {(x[0], x[1]): x[2:] for x in zip(*(self.state.get() or ()))}
+        out = []
+        for pair, mine in counts.items():
+            version, *toggles = stored.get(pair, (0, None, None, None, None, None, None))
+            change, now = {}, {}
+            for kind, (active, us, event_id) in (("like", toggles[:3]), ("bookmark", toggles[3:])):
+                new = last.get((pair, kind))
+                if new is None or (active is not None and _order(new) <= _order((us, event_id))):
+                    new = us, event_id, active
+                change[kind] = int(bool(new[2])) - int(bool(active))
+                now[kind] = new[2], new[0], new[1]
+            stored[pair] = (version + 1, *now["like"], *now["bookmark"])
+            out.append(self._ROW(*pair, version + 1, mine["read"], mine["comment"], mine["share"], change["like"], change["bookmark"],
+                                 *now["like"][:2], *now["bookmark"][:2]))
+        if out:
+            self.state.update(tuple(map(list, zip(*((*pair, *x) for pair, x in stored.items())))))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -85,7 +104,8 @@ def stream_state(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     # Times are microseconds in Python, which has more than one notion of a timestamp.
-    changes = once.withColumn("us", F.unix_micros("ts")).groupBy("user_id", "item_id").transformWithState(
+    slot = F.pmod(F.xxhash64("user_id", "item_id"), F.lit(SLOTS)).alias("slot")
+    changes = once.withColumn("us", F.unix_micros("ts")).select(slot, *LiveState.IN).groupBy("slot").transformWithState(
         statefulProcessor=LiveState(), outputStructType=LiveState.OUT, outputMode="Append", timeMode="None")
     for kind in ("like", "bookmark"):
         changes = changes.withColumn(f"{kind}_us", F.timestamp_micros(f"{kind}_us")).withColumnRenamed(f"{kind}_us", f"{kind}_ts")
